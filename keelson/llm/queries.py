@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import licenses, packed, pieces, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash_near_dedup": simhash.op4_simhash_near_dedup}
+    return {
+        "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op7_license_scan": licenses.op7_license_scan,
+        "op8_token_binary": packed.op8_token_binary,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
