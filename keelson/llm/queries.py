@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packed, pieces, simhash
+from . import licenses, mixing, packed, pieces, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op5_source_mixing": mixing.op5_source_mixing,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_token_binary": packed.op8_token_binary,
         "op9_sentencepiece": pieces.op9_sentencepiece,
