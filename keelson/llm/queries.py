@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packed, pieces, simhash
+from . import licenses, mixing, packed, pieces, simhash, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": mixing.op5_source_mixing,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_token_binary": packed.op8_token_binary,
+        "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
         "op9_sentencepiece": pieces.op9_sentencepiece,
     }
 
