@@ -76,12 +76,26 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
     return out
 
 
-def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Rounds the undecided, two at most, to the total of words that is nearest to the expected one."""
+def landing(size: np.ndarray, p: np.ndarray, expected: float) -> np.ndarray:
+    """Rounds the undecided, two at most, to the total of words that is nearest to the expected one.
+
+    Then at most one document that is taken and one that is not change places, where that comes nearer:
+    the number of documents stays.
+    """
     out = p.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
-    expected = float((size[left] * p[left]).sum())
-    out[left] = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(float(np.dot(size[left], x)) - expected), x))
+    out[left] = 0
+    missing = expected - float(np.dot(size, out))
+    out[left] = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(float(np.dot(size[left], x)) - missing), x))
+    over = float(np.dot(size, out)) - expected
+    taken, free = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+    if len(taken) and len(free) and over:
+        free = free[np.argsort(size[free], kind="stable")]
+        at = np.searchsorted(size[free], size[taken] - over)
+        pairs = [(abs(over - size[t] + size[free[k]]), int(t), int(free[k])) for off in (-1, 0) for t, k in zip(taken, np.clip(at + off, 0, len(free) - 1))]
+        best, i, j = min(pairs)
+        if best < abs(over):
+            out[i], out[j] = 0, 1
     return out
 
 
@@ -92,8 +106,9 @@ def flown(units: DataFrame, chunks: int, last: bool) -> DataFrame:
         group = group.sort_values(["bulk", "lot"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
         source = group["source"].iloc[0]
         rng = np.random.default_rng(zlib.crc32(f"{source}|{group['chunk'].iloc[0]}|{last}".encode()))
-        p = flight(group["bulk"].to_numpy(), group["p"].to_numpy(), rng)
-        group["p"] = landing(group["bulk"].to_numpy(), p) if last else p
+        size, before = group["bulk"].to_numpy(), group["p"].to_numpy()
+        p = flight(size, before, rng)
+        group["p"] = landing(size, p, float(np.dot(size, before))) if last else p
         return group.drop(columns="chunk")
 
     chunked = units.withColumn("chunk", F.pmod("lot", F.lit(chunks)))
