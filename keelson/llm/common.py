@@ -65,7 +65,7 @@ def column_bytes(column: pa.Array) -> list[bytes]:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that are read, from the optimised plan's statistics: no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(spark: SparkSession, amount: int, each: int) -> int:
