@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packed, pieces, simhash, toxicity, vectors
+from . import licenses, mixing, mixing_model, packed, pieces, simhash, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_lm_scoring": mixing_model.op2_lm_scoring,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op7_license_scan": licenses.op7_license_scan,
