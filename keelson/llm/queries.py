@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mixing_model, packed, pieces, simhash, toxicity, vectors
+from . import licenses, mixing, mixing_model, packed, pieces, quality, simhash, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_lm_scoring": mixing_model.op2_lm_scoring,
+        "op3_quality_rules": quality.op3_quality_rules,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op7_license_scan": licenses.op7_license_scan,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality.OP3_SQL}
