@@ -6,10 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import simhash
+from keelson.llm import mixing, pieces, simhash, suffixes, toxicity
 from keelson.llm.common import documents, shared_dir
 
-STAGES = [("simhash_near_dedup", simhash.stage)]
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("simhash_near_dedup", simhash.stage),
+    ("suffix_array_dedup", suffixes.stage),
+    ("source_mixing", mixing.stage),
+    ("sentencepiece", pieces.stage),
+]
 
 #: SQL can't express fingerprint search, suffix order, the balanced draw or the encoder.
 ORACLE_SQL = None

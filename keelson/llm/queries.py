@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mixing_model, packed, pieces, quality, simhash, toxicity, vectors
+from . import licenses, mixing, mixing_model, packed, pieces, quality, simhash, suffixes, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_suffix_array_dedup": suffixes.op6_suffix_array_dedup,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_token_binary": packed.op8_token_binary,
         "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,

@@ -22,17 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, by_key, column_bytes, components, documents, kept, map_rows, parts_for, runs, texts
+from .common import DOCUMENT_COLUMNS, Forest, by_key, column_bytes, components, documents, kept, map_rows, mix64, parts_for, runs, texts
 
 BITS = 64
 #: Rows of a bucket that are compared pair by pair; larger buckets are linked by wildcard keys.
 PAIRWISE = 40_000
+#: Pairs that are compared in the time that one probe key takes.
+PROBE = 300
+#: The most probe keys of a fingerprint, which bounds what is shuffled.
+KEYS = 80
 
 
-def fingerprint(text: bytes, words: int, seed: int) -> int:
+def fingerprint(text: bytes, words: int, seed: int, count: int = 1) -> list[int]:
+    """``count`` words of 64 majority bits; the first is of the shingles' hashes, the others of hashes mixed from them."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return [0] * count
     if len(tokens) <= words:
         shingles: Iterator[bytes] = iter([b" ".join(tokens)])
         n = 1
@@ -40,21 +45,24 @@ def fingerprint(text: bytes, words: int, seed: int) -> int:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
         n = len(tokens) - words + 1
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, n)
-    total = np.zeros(BITS, np.int64)
+    total = np.zeros((count, BITS), np.int64)
     for i in range(0, n, 1 << 16):
-        part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+        part = hashes[i : i + (1 << 16)]
+        for k in range(count):
+            bits = part if not k else mix64(part + np.uint64(k))
+            total[k] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, count: int = 1) -> DataFrame:
+    """(doc_id, fp, more): the fingerprint as a signed long, and its further words."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        fps = np.array([fingerprint(t, words, seed) for t in column_bytes(batch.column("text"))], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}
+        fps = np.array([fingerprint(t, words, seed, count) for t in column_bytes(batch.column("text"))], np.uint64).reshape(-1, count).view(np.int64)
+        return {"doc_id": batch.column("doc_id"), "fp": fps[:, 0]} | {f"more{k}": fps[:, k] for k in range(1, count)}
 
-    return map_rows(texts(docs), step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    more = "".join(f", more{k} long" for k in range(1, count))
+    return map_rows(texts(docs), step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{more}")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -96,8 +104,15 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
 
     The thresholds t satisfy sum(t + 1) = distance + 1. A segment costs its probe keys and the pairs
     that are expected to agree on it to within t, from each bit's share of ones over all fingerprints;
-    correlated bits count as fewer. Constants: a probe costs about four verifications.
+    correlated bits count as fewer. A probe is shuffled and sorted, so it costs as much as PROBE pairs.
     """
+    price = PROBE
+    while sum(math.comb(len(bits), t) for bits, t in (found := cheapest(n, both, distance, price))) > KEYS:
+        price *= 4
+    return found
+
+
+def cheapest(n: int, both: np.ndarray, distance: int, price: float) -> list[tuple[list[int], int]]:
     order, phi = correlated_order(n, both)
     p = np.diag(both)[order] / max(n, 1)
     differ = 2 * p * (1 - p)
@@ -117,7 +132,7 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
             for t in range(min(budget, length)):
                 probes = math.comb(length, t)
                 pairs = n * n / 2 * min(1.0, mass[: t + 1].sum()) ** fewer
-                cost[i, j + 1, t] = pairs + 4 * n * probes
+                cost[i, j + 1, t] = pairs + price * n * probes
     for end in range(1, BITS + 1):
         for spent in range(1, budget + 1):
             found = min(((best[i, spent - t - 1][0] + cost[i, end, t], i, t) for t in range(spent) for i in range(end) if (i, spent - t - 1) in best), default=None)
@@ -129,8 +144,6 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
 
 def probe_keys(fps: np.ndarray, segments: list[tuple[list[int], int]]) -> np.ndarray:
     """A key for each fingerprint and each way to blank t bits of a segment; within t bits, one is shared."""
-    from .common import mix64
-
     out = []
     for bits, t in segments:
         whole = sum(1 << b for b in bits)
@@ -141,20 +154,32 @@ def probe_keys(fps: np.ndarray, segments: list[tuple[list[int], int]]) -> np.nda
     return np.array(out)
 
 
-def bucket_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that connect exactly what links within ``distance`` connect in one bucket, one fewer than its rows at most."""
+def near(a: np.ndarray, b: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
+    """Whether rows are within bounds[0] bits in the first word and, where given, bounds[1] in all words."""
+    if len(bounds) == 1:
+        return np.bitwise_count(a[..., 0] ^ b[..., 0]) <= bounds[0]
+    found = np.bitwise_count(a[..., 0] ^ b[..., 0]) <= bounds[0]
+    at = np.nonzero(found)
+    wide_a, wide_b = np.broadcast_arrays(a, b)
+    found[at] = np.bitwise_count(wide_a[at] ^ wide_b[at]).sum(axis=-1, dtype=np.int64) <= bounds[1]
+    return found
+
+
+def bucket_links(fps: np.ndarray, bounds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect exactly what links connect in one bucket, one fewer than its rows at most."""
     n = len(fps)
     forest = Forest(n)
-    if n <= PAIRWISE:
-        for i in range(0, n, 512):
-            near = np.bitwise_count(fps[i : i + 512, None] ^ fps[None, i:]) <= distance
-            a, b = np.nonzero(near)
+    if n <= PAIRWISE or len(bounds) > 1:
+        rows = max(1, min(512, (1 << 22) // n))
+        for i in range(0, n, rows):
+            a, b = np.nonzero(near(fps[i : i + rows, None], fps[None, i:], bounds))
             forest.join(a + i, b + i)
     else:
-        vary = np.bitwise_or.reduce(fps ^ fps[0])
+        first = fps[:, 0]
+        vary = np.bitwise_or.reduce(first ^ first[0])
         bits = [b for b in range(BITS) if int(vary) >> b & 1]
-        for blank in combinations(bits, min(distance, len(bits))):
-            masked = fps & np.uint64((2**64 - 1) ^ sum(1 << b for b in blank))
+        for blank in combinations(bits, min(bounds[0], len(bits))):
+            masked = first & np.uint64((2**64 - 1) ^ sum(1 << b for b in blank))
             order = np.argsort(masked, kind="stable")
             same = masked[order[1:]] == masked[order[:-1]]
             forest.join(order[1:][same], order[:-1][same])
@@ -162,43 +187,48 @@ def bucket_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray
     return far, forest.parent[far]
 
 
-def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): verified pairs of distinct fingerprints whose components are those of all links within ``distance``."""
+def links(nodes: DataFrame, bounds: tuple[int, ...]) -> DataFrame:
+    """(a, b): verified pairs of nodes (id, fp, more...) whose components are those of all links within the bounds.
+
+    Two nodes link within bounds[0] bits of fp and, where a second bound is given, that many of all words.
+    """
     spark = nodes.sparkSession
     n, both = bit_statistics(nodes)
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
-    segments = plan(n, both, distance)
+    segments = plan(n, both, bounds[0])
     probes = sum(math.comb(len(bits), t) for bits, t in segments)
+    words = [c for c in nodes.columns if c == "fp" or c.startswith("more")]
+    names = ["key", "id", *words]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy()
-            for i in range(0, len(fps), 1 << 15):
-                part = fps[i : i + (1 << 15)]
-                for keys in probe_keys(part.view(np.uint64), segments):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part)], names=["key", "fp"])
+            for i in range(0, batch.num_rows, 1 << 15):
+                part = batch.slice(i, 1 << 15)
+                for keys in probe_keys(part.column("fp").to_numpy().view(np.uint64), segments):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(part.column(c) for c in names[1:])], names=names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, "key"):
-            keys, fps = table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
+            keys, ids = table["key"].to_numpy(), table["id"].to_numpy()
+            fps = np.stack([table[c].to_numpy().view(np.uint64) for c in words], axis=1)
             starts, ends = runs(keys)
             size = ends - starts
             found = []
             small = np.repeat(size <= 16, size)
             for d in range(1, int(min(16, size.max(initial=0)))):
-                i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:] & (fps[d:] != fps[:-d]))
-                i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= distance]
+                i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:] & (ids[d:] != ids[:-d]))
+                i = i[near(fps[i], fps[i + d], bounds)]
                 found.append((i, i + d))
             for s in np.flatnonzero(size > 16):
-                a, b = bucket_links(fps[starts[s] : ends[s]], distance)
+                a, b = bucket_links(fps[starts[s] : ends[s]], bounds)
                 found.append((a + starts[s], b + starts[s]))
             if found:
-                a, b = (fps[np.concatenate(x)].view(np.int64) for x in zip(*found))
+                a, b = (ids[np.concatenate(x)] for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    keys = nodes.select("fp").mapInArrow(probe, "key long, fp long")
-    parts = parts_for(spark, n * probes, 2_000_000)
+    keys = nodes.select("id", *words).mapInArrow(probe, ", ".join(f"{c} long" for c in names))
+    parts = parts_for(spark, n * probes * len(words), 2_000_000)
     return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
 
 
@@ -206,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
     """doc_id, fingerprint (hex) and component_id: the smallest doc_id that links of ``distance`` bits or fewer reach."""
     found = kept(fingerprints(docs, words, seed))
     nodes = kept(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(nodes, distance), "a", "b")
+    joined = components(links(nodes.withColumn("id", F.col("fp")), (distance,)), "a", "b")
     rooted = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "root").select("fp", "component_id")
@@ -217,10 +247,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+#: Words of 64 bits that the stage compares, and its bounds: differing bits in the first and in all of them.
+#: Sets of shingles with a similarity of 0.8 have vectors at a cosine of 0.89 or so, which differ in
+#: 0.15 of all bits on average; the bounds leave some room above that.
+WIDE, BOUNDS = 4, (11, 46)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of five-word fingerprints: the one with the smallest doc_id."""
-    from .common import DOCUMENT_COLUMNS
+    """Keeps one document of each group of near-duplicates by five-word shingles: the one with the smallest doc_id.
 
-    found = near_duplicates(docs, words=5)
-    keep = found.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    Rows with one doc_id are one document. Rows without a doc_id are kept if no row with one is like them.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    words = ["fp", *(f"more{k}" for k in range(1, WIDE))]
+    found = kept(fingerprints(docs, words=5, count=WIDE))
+    nodes = kept(found.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64(*words)))
+    joined = components(links(nodes, BOUNDS), "a", "b")
+    rooted = nodes.join(joined, nodes.id == joined.node, "left").select("least", F.coalesce("root", "id").alias("root"))
+    keep = rooted.groupBy("root").agg(F.min("least").alias("its_id")).select("its_id")
+    return docs.join(keep, docs.doc_id.eqNullSafe(keep.its_id), "left_semi").dropDuplicates(["doc_id"])
