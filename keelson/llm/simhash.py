@@ -107,9 +107,11 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
     correlated bits count as fewer. A probe is shuffled and sorted, so it costs as much as PROBE pairs.
     """
     price = PROBE
-    while sum(math.comb(len(bits), t) for bits, t in (found := cheapest(n, both, distance, price))) > KEYS:
+    while True:
+        found = cheapest(n, both, distance, price)
+        if sum(math.comb(len(bits), t) for bits, t in found) <= KEYS:
+            return found
         price *= 4
-    return found
 
 
 def cheapest(n: int, both: np.ndarray, distance: int, price: float) -> list[tuple[list[int], int]]:
