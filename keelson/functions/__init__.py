@@ -1 +1 @@
-"""functions of the engine."""
+"""Column expressions: time, identifiers, parsers, constraints and calendars."""

@@ -1 +1,4 @@
-"""plans of the engine."""
+"""Queries over the test tables, each with the SQL that it is checked against."""
+
+from . import records, study  # noqa: F401  they register their queries
+from .common import QUERIES, SQL  # noqa: F401
