@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +40,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before more are written."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the named columns and the text, where a null text is an empty one."""
     return docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))

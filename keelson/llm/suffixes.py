@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, by_key, column_bytes, documents, input_bytes, kept, map_rows, mix64, parts_for
+from .common import DOCUMENT_COLUMNS, by_key, column_bytes, documents, input_bytes, kept, map_rows, mix64, parts_for, release, runs
 
 #: Bytes of the strings that minimisers are taken from.
 GRAM = 20
@@ -43,6 +43,11 @@ LAST = (1 << 63) - 1
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
+#: What a task sends on of its minimisers, and the number that stands for several of its texts.
+PACKED = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("h", pa.int64()), ("packed", pa.binary()), ("number", pa.binary()), ("owners", pa.binary())])
+ANY = 65535
+
+
 def window_minimisers(text: np.ndarray, length: int) -> np.ndarray:
     """The minimiser of each window of ``length`` bytes; none for a shorter text."""
     if len(text) < length:
@@ -151,63 +156,105 @@ def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def hash_bytes(amount: int) -> int:
+    """Leading bytes of a minimiser that tell minimisers of ``amount`` bytes of text apart, but for one in 256.
+
+    Two that agree in these bytes by chance are only compared in vain.
+    """
+    return min(8, max(4, -(-(max(amount, 1).bit_length() - 4 + 8) // 8)))
+
+
+def clipped(minimisers: np.ndarray, width: int) -> np.ndarray:
+    return minimisers >> np.uint64(64 - 8 * width)
+
+
 def shared_minimisers(rows: DataFrame, length: int, amount: int) -> DataFrame:
-    """(t, hashes): the minimisers that each text shares with another one. ``amount`` estimates the texts' bytes."""
+    """(t, hashes): the clipped minimisers that each text shares with another one. ``amount`` estimates the texts' bytes.
+
+    A task packs its minimisers for each partition into one row: sorted, with the number of their text
+    in the task, and the texts. Those that two of its texts share are decided there; of each, one goes on,
+    marked by the text number ``ANY``.
+    """
+    width = hash_bytes(amount)
+    parts = parts_for(rows.sparkSession, int(amount * 0.06), 1_500_000)
+    most = 60_000
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
-            h, t = np.concatenate(hashes), np.concatenate(owners)
-            order = np.lexsort((t, h))
-            h, t = h[order], t[order]
-            own = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]
-            h, t = h[own], t[own]
+            h = np.concatenate(hashes)
+            which = np.repeat(np.arange(len(hashes), dtype=np.uint16), [len(x) for x in hashes])
+            order = np.argsort(h, kind="stable")
+            h, which, ts = h[order], which[order], np.array(owners, np.int64)
+            t = ts[which]
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            several = np.diff(np.r_[start, len(h)]) > 1
-            here = np.repeat(several, np.diff(np.r_[start, len(h)]))
-            h, t = h.view(np.int64), t
-            for kind, k, hh, tt in ((0, h[~here], h[~here], t[~here]), (1, t[here], h[here], t[here]), (2, h[start[several]], h[start[several]], t[start[several]])):
-                for i in range(0, len(hh), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hh[part]), kind, np.int8)), pa.array(k[part]), pa.array(hh[part]), pa.array(tt[part])], names=["kind", "key", "h", "t"])
+            size = np.diff(np.r_[start, len(h)])
+            several = np.minimum.reduceat(t, start) != np.maximum.reduceat(t, start)
+            here = np.repeat(several, size)
+            if here.any():
+                own = np.unique(np.stack([t[here], h[here].view(np.int64)], axis=1), axis=0)
+                for i in range(0, len(own), 1 << 16):
+                    part = own[i : i + (1 << 16)]
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0] % parts), pa.array(part[:, 0]), pa.array(part[:, 1]), *(pa.nulls(n, pa.binary()) for _ in range(3))], schema=PACKED)
+            alone = ~here
+            alone[start[several]] = True
+            which[start[several]] = ANY
+            h, which = h[alone], which[alone]
+            to = (h % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            h, which, to = h[order], which[order], to[order]
+            for a, b in zip(*runs(to)):
+                found, number = np.unique(np.r_[which[a:b], np.uint16(ANY)], return_inverse=True)
+                packed = h[a:b].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 1]), pa.array([0]), pa.array([0]), pa.array([packed], pa.binary()), pa.array([number[:-1].astype("<u2").tobytes()], pa.binary()), pa.array([ts[found[:-1]].tobytes()], pa.binary())], schema=PACKED)
 
         hashes, owners, held = [], [], 0
         for batch in batches:
             for text, t in zip(column_bytes(batch.column("text")), batch.column("t").to_pylist()):
-                found = np.unique(window_minimisers(np.frombuffer(text, np.uint8), length))
+                found = np.unique(clipped(window_minimisers(np.frombuffer(text, np.uint8), length), width))
+                if not len(found):
+                    continue
                 hashes.append(found)
-                owners.append(np.full(len(found), t, np.int64))
+                owners.append(t)
                 held += len(found)
-            if held > 4_000_000:
-                yield from flush()
-                hashes, owners, held = [], [], 0
+                if held > 3_000_000 or len(owners) == most:
+                    yield from flush()
+                    hashes, owners, held = [], [], 0
         if hashes:
             yield from flush()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, hs, ts = [], [], []
+        hs, ts, marks = [], [], []
         for batch in batches:
-            kind, h, t = (batch.column(c).to_numpy() for c in ("kind", "h", "t"))
-            done = kind == 1
-            if done.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[done]), pa.array(h[done])], names=["t", "h"])
-            kinds.append(kind[~done])
-            hs.append(h[~done])
-            ts.append(t[~done])
+            packed = batch.column("packed")
+            done = batch.filter(packed.is_null())
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column("t"), done.column("h")], names=["t", "h"])
+            for raw, number, owners in zip(packed, batch.column("number"), batch.column("owners")):
+                if not raw.is_valid:
+                    continue
+                wide = np.zeros((len(raw.as_buffer()) // width, 8), np.uint8)
+                wide[:, :width] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, width)
+                owners = np.frombuffer(owners.as_buffer(), np.int64)
+                number = np.frombuffer(number.as_buffer(), "<u2").astype(np.int64)
+                mark = number >= len(owners)
+                hs.append(wide.view(np.uint64).ravel())
+                ts.append(np.where(mark, 0, np.r_[owners, 0][np.minimum(number, len(owners))]))
+                marks.append(mark)
         if not hs:
             return
-        kind, h, t = np.concatenate(kinds), np.concatenate(hs), np.concatenate(ts)
-        order = np.lexsort((t, h))
-        kind, h, t = kind[order], h[order], t[order]
-        if not len(h):
-            return
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        h, t, mark = np.concatenate(hs), np.concatenate(ts), np.concatenate(marks)
+        order = np.argsort(h, kind="stable")
+        h, t, mark = h[order], t[order], mark[order]
+        start, _ = runs(h)
         size = np.diff(np.r_[start, len(h)])
-        shared = (t[start] != t[start + size - 1]) | (np.maximum.reduceat(kind, start) == 2)
-        out = np.repeat(shared, size) & (kind == 0)
-        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(h[out])], names=["t", "h"])
+        low = np.minimum.reduceat(np.where(mark, LAST, t), start)
+        high = np.maximum.reduceat(np.where(mark, -LAST, t), start)
+        shared = (low < high) | (np.maximum.reduceat(mark, start) & (size > 1))
+        out = np.repeat(shared, size) & ~mark
+        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(h[out].view(np.int64))], names=["t", "h"])
 
-    parts = parts_for(rows.sparkSession, int(amount * 0.07), 1_500_000)
-    sent = rows.select("t", "text").mapInArrow(send, "kind tinyint, key long, h long, t long").repartition(parts, "key")
+    sent = rows.select("t", "text").mapInArrow(send, "key long, t long, h long, packed binary, number binary, owners binary").repartition(parts, "key")
     return sent.mapInArrow(decide, "t long, h long").groupBy("t").agg(F.collect_set("h").alias("hashes"))
 
 
@@ -259,6 +306,7 @@ class Snippets:
 
 def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
     """(t, a, b): starts and ends of byte intervals to remove, from (t, d, text, hashes)."""
+    width = hash_bytes(amount)
 
     def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(out), 20_000):
@@ -277,7 +325,7 @@ def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
                     continue
                 start, windows = stretches(minimisers)
                 h = minimisers[start].view(np.int64)
-                shared = np.isin(h, hashes.values.to_numpy())
+                shared = np.isin(clipped(minimisers[start], width).view(np.int64), hashes.values.to_numpy())
                 for p, n, g in zip(start[shared].tolist(), windows[shared].tolist(), h[shared].tolist()):
                     for q in range(p, p + n, STRETCH):
                         content = text[q : min(q + STRETCH, p + n) + length - 1]
@@ -336,7 +384,9 @@ def marked(docs: DataFrame, length: int = 50) -> DataFrame:
     first = keys.groupBy("t").agg(F.min("d").alias("least"))
     shared = kept(shared_minimisers(plain, length, amount).join(first, "t").select(F.col("t").alias("its_t"), F.col("least"), "hashes"))
     some = plain.join(shared, (plain.t == shared.its_t) & (plain.d == shared.least)).select("t", "d", "text", "hashes")
+    release(docs.sparkSession)
     spans = kept(removed_intervals(some, length, amount))
+    release(docs.sparkSession)
     merged = spans.groupBy("t").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
     side = keys.join(first, "t").withColumn("whole", F.col("d") > F.col("least"))
     side = side.filter("whole").select("d", "t", "whole", F.lit(None).cast("array<int>").alias("a"), F.lit(None).cast("array<int>").alias("b")).union(side.filter("not whole").join(merged, "t", "left").select("d", "t", "whole", "a", "b"))
