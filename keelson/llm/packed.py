@@ -16,6 +16,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ MAGIC = b"BITPACK1"
 BLOCK = 4096
 #: Input bytes to a file.
 FILE_BYTES = 12 << 20
-#: Distinct pieces, and words, whose ids a worker remembers; beyond, it forgets all and goes on.
+#: Distinct words and pieces in a generation of what a worker remembers.
 REMEMBERED = 700_000
 END_ID = 0
 #: Texts of these characters alone are cut the same way by every release of Unicode; any other text goes to the library whole.
@@ -131,12 +132,19 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes as they are, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+
+
 class Encoder:
     """The tokenizers library's ids of whole texts, as little-endian 32-bit integers.
 
     Merges never cross the pieces that the vocabulary's pattern cuts, and a single space between other
-    characters always starts a piece. So a text falls into words, words into pieces, and each distinct
-    one is encoded once and remembered.
+    characters always starts a piece. So a text falls into words, words into pieces, and the library's
+    model encodes each distinct piece once while it is remembered. What a worker remembers has two
+    generations: a word that is still in use moves to the young one, the old one goes when that is full.
     """
 
     def __init__(self, path: str) -> None:
@@ -150,44 +158,50 @@ class Encoder:
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.plain = regex.compile(PLAIN).fullmatch
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.tokenize = self.library.model.tokenize
+        self.words: dict[str, bytes] = {}  # after a space
+        self.starts: dict[str, bytes] = {}  # pieces without one
+        self.old: dict[str, bytes] = {}
 
     def encode(self, found: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in found:
             if any(s in text for s in self.special) or not (text.isascii() and text.isprintable() or self.plain(text)):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())
             elif text[:1] == " " or text[-1:] == " " or any(s in text for s in TOUCHING):
-                pieces = self.cut(text)
-                self.learn(pieces)
-                out.append(b"".join(map(self.pieces.__getitem__, pieces)))
+                out.append(b"".join(map(self.piece, self.cut(text))))
             else:
                 first, *words = text.split(" ")
                 try:
                     coded = b"".join(map(self.words.__getitem__, words))
                 except KeyError:
-                    self.learn_words(words)
-                    coded = b"".join(map(self.words.__getitem__, words))
-                self.learn(pieces := self.cut(first))
-                out.append(b"".join(map(self.pieces.__getitem__, pieces)) + coded)
+                    coded = b"".join(self.words.get(w) or self.word(w) for w in words)
+                out.append(b"".join(map(self.piece, self.cut(first))) + coded)
+            if len(self.words) + len(self.starts) > REMEMBERED:
+                self.old, self.words, self.starts = self.words, {}, {}
         return out
 
-    def learn_words(self, words: list[str]) -> None:
-        """``words`` follow a space each."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = [(w, self.cut(f" {w}")) for w in set(words) if w not in self.words]
-        self.learn([p for _, pieces in new for p in pieces])
-        self.words.update((w, b"".join(map(self.pieces.__getitem__, pieces))) for w, pieces in new)
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        new = [p for p in set(pieces) if p not in self.pieces]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
+    def word(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        coded = self.old.get(word)
+        if coded is None:
+            pieces = self.cut(f" {word}")
+            coded = self.coded(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
+        self.words[word] = coded
+        return coded
+
+    def piece(self, piece: str) -> bytes:
+        if piece[0] == " " and len(piece) > 1 and piece[1] != " ":
+            return self.words.get(piece[1:]) or self.word(piece[1:])
+        coded = self.starts.get(piece)
+        if coded is None:
+            coded = self.starts[piece] = self.coded(piece)
+        return coded
+
+    def coded(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
