@@ -35,8 +35,10 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 #: The most labelled rows that the word scores are learned from; more are sampled by the hash of their id.
 LABELLED = 2_000_000
-#: Documents' worth of prior, and the normal quantile of the lower bound.
-PRIOR, QUANTILE = 0.5, 2.33
+#: The prior: documents for each feature, and a share of the toxic features' number that is dealt out as all documents have them.
+PRIOR, PRIOR_SHARE = 0.5, 0.01
+#: The normal quantile of the lower bound.
+QUANTILE = 2.33
 #: Scores are held between these.
 LOW, HIGH = -0.4, 8.0
 #: Distinct words that a worker remembers; beyond, it forgets all and goes on.
@@ -127,7 +129,7 @@ def feature_counts(docs: DataFrame, known: np.ndarray, label: np.ndarray) -> np.
 def log_odds(table: np.ndarray) -> np.ndarray:
     """Lower confidence bounds of the features' log-odds, toxic against clean."""
     total = table.sum(axis=1)
-    prior = PRIOR + 10 * table[0] / max(total[0], 1) * len(table[0]) ** 0.5
+    prior = PRIOR + PRIOR_SHARE * total[2] * table[0] / max(total[0], 1)
     clean, toxic = table[1] + prior, table[2] + prior
     mass = prior.sum()
     ratio = np.log(toxic / (total[2] + mass - toxic)) - np.log(clean / (total[1] + mass - clean))
