@@ -278,5 +278,7 @@ def read_tokens(spark: SparkSession, folder: str, sizes: dict[str, int]) -> Data
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     written = write_tokens(documents(spark, sf_dir), folder)
     return read_tokens(spark, folder, {r["file"]: r["n_ids"] for r in written.collect()})
