@@ -82,8 +82,8 @@ def stretches(minimisers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(minimisers)])
 
 
-def transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of one shard in order, by ``depth`` symbols at least, and its transform.
+def transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of one shard in order, by ``depth`` symbols at least, and its transform, one and two symbols back.
 
     The shard is read as a ring; snippets end with a symbol of their own, so that no suffix that counts
     reaches past its snippet.
@@ -92,37 +92,51 @@ def transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(n, np.uint64)
     for i in range(7):
         packed = packed << np.uint64(9) | np.roll(symbols, -i).astype(np.uint64)
-    reach, order = 7, np.argsort(packed, kind="stable")
+    reach, order = 7, np.argsort(packed)
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.r_[0, packed[order][1:] != packed[order][:-1]])
     while reach < depth and rank[order[-1]] < n - 1:
         key = rank * n + np.roll(rank, -reach)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
         reach *= 2
-    return order, symbols[order - 1]
+    return order, symbols[order - 1], symbols[order - 2]
 
 
-def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merged_blocks(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards in order of ``depth`` symbols, and whether each place starts a new block.
 
-    The interleave holds a shard number for each place; the j-th place of a shard is its j-th suffix. A
-    round deals each shard's symbols out along the interleave and sorts it by them, stably.
+    A shard gives, for each suffix in order, the symbol before it and the one before that. The interleave
+    holds a shard number for each place; the j-th place of a shard is its j-th suffix. A round deals each
+    shard's symbols out along the interleave and sorts it by them, stably; it takes two symbols at once
+    where pairs of them have 16 bits.
     """
-    joined = np.concatenate(transforms)
-    joined = np.unique(joined, return_inverse=True)[1]
-    joined = joined.astype(np.uint8 if joined.max(initial=0) < 256 else np.uint16)
-    size = [len(t) for t in transforms]
+    one, two = (np.concatenate(x) for x in zip(*transforms))
+    codes = np.zeros(int(one.max(initial=0)) + 1, np.uint16)
+    used = np.unique(one)
+    codes[used] = np.arange(len(used))
+    one, two = codes[one], codes[two]
+    pairs = (two * np.uint16(len(used)) + one) if len(used) <= 256 else None
+    if len(used) <= 256:
+        one = one.astype(np.uint8)
+    size = [len(t[0]) for t in transforms]
     place = np.repeat(np.arange(len(size), dtype=np.uint8 if len(size) <= 256 else np.uint16), size)
-    block = np.zeros(len(joined), np.int32)
-    symbol = np.empty_like(joined)
-    for _ in range(depth):
-        symbol[np.argsort(place, kind="stable")] = joined
+    block = np.zeros(len(one), np.int32)
+    new = np.zeros(len(one), bool)
+    done = 0
+    while done < depth:
+        step = 2 if pairs is not None and depth - done >= 2 else 1
+        dealt = pairs if step == 2 else one
+        symbol = np.empty_like(dealt)
+        symbol[np.argsort(place, kind="stable")] = dealt
         order = np.argsort(symbol, kind="stable")
         symbol, place, block = symbol[order], place[order], block[order]
-        new = np.r_[False, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])]
+        np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
+        new[1:] |= block[1:] != block[:-1]
         block = np.cumsum(new, dtype=np.int32)
-    return place, np.r_[True, new[1:]]
+        done += step
+    new[:1] = True
+    return place, new
 
 
 def repeated_windows(snippets: list[bytes], windows: np.ndarray, docs: np.ndarray, length: int) -> list[np.ndarray]:
@@ -135,9 +149,9 @@ def repeated_windows(snippets: list[bytes], windows: np.ndarray, docs: np.ndarra
     for a, b in zip(cut, np.r_[cut[1:], len(snippets)]):
         raw = np.frombuffer(b"\0".join(snippets[a:b]) + b"\0", np.uint8).astype(np.uint16) + 1
         raw[ends[a:b] - starts[a] - 1] = 0
-        order, last = transform(raw, length)
+        order, *back = transform(raw, length)
         orders.append(order + starts[a])
-        transforms.append(last)
+        transforms.append(tuple(back))
     place, first = merged_blocks(transforms, length)
     at = np.empty(len(place), np.int64)
     at[np.argsort(place, kind="stable")] = np.concatenate(orders)
