@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import DOCUMENT_COLUMNS, documents, kept
 
 #: Documents to a chunk of a source in the flight phase.
-CHUNK = 50_000
+CHUNK = 4096
 
 
 def size_of(text: Column) -> Column:
