@@ -1,6 +1,6 @@
 """Quality rules: base counts of each text and cross-document line frequency, in DataFrame functions alone.
 
-Lines are normalised (A-Z lowered, digits alike, white space single) and hashed; a line that more documents
+Lines are normalised (lower case, digits alike, white space single) and hashed; a line that more documents
 of its host (source) have than the limit is removed, and a document whose words it depletes is rejected.
 The limit is the larger of ``least`` documents and a ``share`` of the host's documents. A document is
 depleted when fewer than ``words_left`` words, or less than ``share_left`` of its words, stay.
@@ -19,9 +19,7 @@ from .common import documents
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SYMBOL = "[#*$%&|<>]"
 
 LEAST, SHARE, WORDS_LEFT, SHARE_LEFT = 20, 0.01, 50, 0.3
 
@@ -36,8 +34,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    folded = F.translate(line, UPPER + "0123456789", LOWER + "0000000000")
-    return F.xxhash64(F.trim(F.regexp_replace(folded, GAP, " ")))
+    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), GAP, " ")))
 
 
 def host_of(source: Column) -> Column:
@@ -54,10 +51,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "host",
         F.xxhash64("text").alias("its_text"),
         F.size("hashes").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("lines", lambda x: F.struct(line_hash(x).alias("line"), F.size(words_of(x)).alias("words"))).alias("lines"),
+        F.transform("lines", lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("lines"),
         F.when(F.size("hashes") >= 3, F.array_sort(F.transform(F.slice("hashes", 1, F.size("hashes") - 2), lambda h, i: F.struct(F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)).alias("gram"), i.alias("at"))))).alias("grams"),
     )
     same = lambda x, i, d: F.get("grams", i + d)["gram"] == x["gram"]
@@ -100,7 +97,7 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, chr(1)) AS
 w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
 g AS (SELECT k, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 r AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM g) WHERE n > 1) GROUP BY k),
-l AS (SELECT k, host, line, trim(regexp_replace(translate(line, '{UPPER}0123456789', '{LOWER}0000000000'), '{GAP}', ' ', 'g')) AS norm FROM (SELECT k, host, unnest(lines) AS line FROM w)),
+l AS (SELECT k, host, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{GAP}', ' ', 'g')) AS norm FROM (SELECT k, host, unnest(lines) AS line FROM w)),
 f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT k) AS n FROM l GROUP BY ALL) JOIN (SELECT host, greatest({LEAST}, count(*) * {SHARE}) AS most FROM d GROUP BY host) USING (host) WHERE n > most),
 x AS (SELECT k, sum(len(regexp_extract_all(line, '{WORD}'))) AS removed FROM l JOIN f USING (host, norm) GROUP BY k),
 o AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
