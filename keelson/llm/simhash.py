@@ -33,18 +33,21 @@ PROBE = 300
 KEYS = 80
 
 
-def fingerprint(text: bytes, words: int, seed: int, count: int = 1) -> list[int]:
-    """``count`` words of 64 majority bits; the first is of the shingles' hashes, the others of hashes mixed from them."""
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """XXH64 of the word shingles in order; a text of fewer words is one shingle, and one without words has none."""
     tokens = text.lower().split()
     if not tokens:
+        return np.zeros(0, np.uint64)
+    shingles: Iterator[bytes] = iter([b" ".join(tokens)]) if len(tokens) <= words else map(b" ".join, zip(*(tokens[i:] for i in range(words))))
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, max(1, len(tokens) - words + 1))
+
+
+def fingerprint(text: bytes, words: int, seed: int, count: int = 1) -> list[int]:
+    """``count`` words of 64 majority bits; the first is of the shingles' hashes, the others of hashes mixed from them."""
+    hashes = shingle_hashes(text, words, seed)
+    n = len(hashes)
+    if not n:
         return [0] * count
-    if len(tokens) <= words:
-        shingles: Iterator[bytes] = iter([b" ".join(tokens)])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
-        n = len(tokens) - words + 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, n)
     total = np.zeros((count, BITS), np.int64)
     for i in range(0, n, 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -249,22 +252,188 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-#: Words of 64 bits that the stage compares, and its bounds: differing bits in the first and in all of them.
-#: Sets of shingles with a similarity of 0.8 have vectors at a cosine of 0.89 or so, which differ in
-#: 0.15 of all bits on average; the bounds leave some room above that.
+#: Words of 64 bits and bounds of a comparison by fingerprints alone; the stage decides by the shingles themselves.
 WIDE, BOUNDS = 4, (11, 46)
+#: Words of the stage's shingles, and the least Jaccard similarity of near-duplicates, as a fraction.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: Bands of MinHash values and values of a band. A pair of the least similarity shares no band with a chance of
+#: (1 - 0.8^5)^45, less than 2 in 10^8; one of a similarity of 0.1 shares any with 1 in 2,000.
+BANDS, VALUES = 45, 5
+#: Members of a bucket that are all paired at once; those of larger ones are first held against one of them, then across what that linked.
+FEW = 8
+MULTIPLY, ADD = (np.random.default_rng(42).integers(0, 2**32, BANDS * VALUES, np.uint32) | np.uint32(x) for x in (1, 0))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band, of the least values that its permutations give to any of the shingles."""
+    low = hashes.astype(np.uint32)
+    least = np.full(BANDS * VALUES, 2**32 - 1, np.uint32)
+    for i in range(0, len(low), 512):
+        least = np.minimum(least, (low[i : i + 512, None] * MULTIPLY + ADD).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, VALUES).T:
+        keys = mix64(keys ^ column.astype(np.uint64)) + np.uint64(1)
+    return keys
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles, sorted, have the least Jaccard similarity or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """The rows with ``id`` (equal for equal sets of shingles), ``n`` (shingles of the set), ``keys`` and a number of their own, ``row``."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        ids, sizes, keys = [], [], []
+        for text in column_bytes(batch.column("text")):
+            found = np.unique(shingle_hashes(text or b"", SHINGLE, 42))
+            ids.append(xxhash.xxh64_intdigest(found.tobytes()))
+            sizes.append(len(found))
+            keys.append(band_keys(found).tobytes())
+        return dict(zip(batch.schema.names, batch.columns)) | {"id": np.array(ids, np.uint64).view(np.int64), "n": sizes, "keys": keys}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_rows(docs, step, f"{schema}, id long, n long, keys binary").withColumn("row", F.monotonically_increasing_id())
+
+
+def possible(na: np.ndarray, ca: np.ndarray, nb: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """Whether sets of na and nb shingles, of which others may have ca and cb, can have the least similarity."""
+    return sum(SIMILAR) * np.minimum(ca, cb) >= SIMILAR[0] * (na + nb)
+
+
+def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def bucket_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, key): pairs of nodes (id, n, keys) that share a key with few others, or, with a key, members (id, n) of a large bucket."""
+    names = ["key", "id", "n"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in names[1:])], names=names)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "key"):
+            keys, ids, n = (table[c].to_numpy() for c in names)
+            starts, ends = runs(keys)
+            few = np.repeat(ends - starts <= FEW, ends - starts)
+            for d in range(1, FEW):
+                i = np.flatnonzero((keys[d:] == keys[:-d]) & few[d:])
+                i = i[possible(n[i], n[i], n[i + d], n[i + d])]
+                pairs = pair_batch(ids[i], ids[i + d])
+                yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(len(i), pa.int64())], names=["a", "b", "key"])
+            many = np.flatnonzero(~few)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[many]), pa.array(n[many]), pa.array(keys[many])], names=["a", "b", "key"])
+
+    rows = nodes.select("id", "n", "keys").mapInArrow(spread, "key long, id long, n long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long, key long")
+
+
+def shared_members(members: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (key, id, n) of large buckets with ``c``, how many of their shingles other members have; only those that can be similar to one."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), column_bytes(batch.column("text"))):
+                found = np.unique(shingle_hashes(text, SHINGLE, 42)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), i))], names=["h", "id"])
+
+    ids = members.select("id").distinct()
+    chosen = nodes.join(ids, "id", "left_semi").select("row")
+    found = rows.join(chosen, "row", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(shingles, "h long, id long")
+    alone = found.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    with_c = members.join(alone, "id", "left").select("key", "id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+    return with_c.filter(F.col("c") * SIMILAR[1] >= F.col("n") * SIMILAR[0])
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): in each bucket, the member with the largest share of common shingles, with each other one."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "key"):
+            keys, ids, n, c = (table[x].to_numpy() for x in ("key", "id", "n", "c"))
+            starts, ends = runs(keys)
+            for s, e in zip(starts, ends):
+                one = s + int(np.argmax(c[s:e] / np.maximum(n[s:e], 1)))
+                i = np.arange(s, e)
+                i = i[(i != one) & possible(n[i], c[i], n[one], c[one])]
+                yield pair_batch(ids[i], np.full(len(i), ids[one]))
+
+    return members.select("key", "id", "n", "c").repartition("key").sortWithinPartitions("key").mapInArrow(star, "a long, b long")
+
+
+def pairs_across(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of members (key, id, n, c, root) of one bucket that have different roots and can be similar."""
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "key"):
+            keys, ids, n, c, roots = (table[x].to_numpy() for x in ("key", "id", "n", "c", "root"))
+            starts, ends = runs(keys)
+            bucket = np.repeat(starts, ends - starts)
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])])
+            of_root = np.repeat(first, np.diff(np.r_[first, len(keys)]))
+            for i in np.flatnonzero(of_root > bucket):
+                j = np.arange(bucket[i], of_root[i])
+                j = j[possible(n[j], c[j], n[i], c[i])]
+                if len(j):
+                    yield pair_batch(ids[j], np.full(len(j), ids[i]))
+
+    return members.select("key", "id", "n", "c", "root").repartition("key").sortWithinPartitions("key", "root").mapInArrow(cross, "a long, b long")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes whose sets of shingles, made again from their texts, are similar."""
+    pairs = kept(pairs.distinct())
+    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    chosen = nodes.join(used, "id", "left_semi").select("row")
+    held = kept(rows.join(chosen, "row", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            hit = []
+            ids = [batch.column(c).to_pylist() for c in ("a", "b")]
+            held = [batch.column(c) for c in ("text_a", "text_b")]
+            for k, at in enumerate(zip(*ids)):
+                for i, texts in zip(at, held):
+                    if i not in sets:
+                        sets[i] = np.unique(shingle_hashes(texts[k].as_py().encode(), SHINGLE, 42))
+                hit.append(similar(sets[at[0]], sets[at[1]]))
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    with_texts = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return kept(with_texts.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+
+
+def similar_components(rows: DataFrame) -> DataFrame:
+    """(node, root) of the components that similar sets of shingles form, for every node that has a link."""
+    nodes = kept(rows.groupBy("id").agg(F.min("row").alias("row"), F.min("n").alias("n")))
+    found = kept(bucket_pairs(rows.join(nodes.select("row"), "row", "left_semi")))
+    pairs = found.filter("key IS NULL").select("a", "b")
+    members = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"), F.col("b").alias("n"))
+    if not members.take(1):
+        return components(verified(pairs, rows, nodes), "a", "b")
+    members = kept(shared_members(members, rows, nodes))
+    links = verified(pairs.union(star_pairs(members)), rows, nodes)
+    joined = kept(components(links, "a", "b"))
+    rooted = members.join(joined, members.id == joined.node, "left").select("key", "id", "n", "c", F.coalesce("root", "id").alias("root"))
+    return components(links.union(verified(pairs_across(rooted), rows, nodes)), "a", "b")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates by five-word shingles: the one with the smallest doc_id.
 
+    Near-duplicates are texts whose sets of shingles have a Jaccard similarity of 0.8 or more, and what a
+    chain of them connects. MinHash bands give the candidates, and each is decided by its sets.
     Rows with one doc_id are one document. Rows without a doc_id are kept if no row with one is like them.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    words = ["fp", *(f"more{k}" for k in range(1, WIDE))]
-    found = kept(fingerprints(docs, words=5, count=WIDE))
-    nodes = kept(found.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64(*words)))
-    joined = components(links(nodes, BOUNDS), "a", "b")
-    rooted = nodes.join(joined, nodes.id == joined.node, "left").select("least", F.coalesce("root", "id").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("least").alias("its_id")).select("its_id")
+    rows = kept(signed(docs))
+    joined = similar_components(rows)
+    rooted = rows.select("id", "doc_id").join(joined, F.col("id") == joined.node, "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    keep = rooted.groupBy("root").agg(F.min("doc_id").alias("its_id")).select("its_id")
     return docs.join(keep, docs.doc_id.eqNullSafe(keep.its_id), "left_semi").dropDuplicates(["doc_id"])

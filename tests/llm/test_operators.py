@@ -312,3 +312,54 @@ def test_stage_keeps_one_of_each_group(spark):
     near = [b.replace(b.split()[100], "changed", 1) for b in base[:20]]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(base + near + base[:5])], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in simhash.stage(spark, docs, "").collect()) == list(range(40))
+
+
+def test_stage_is_brute_force_jaccard(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for target in (0.6, 0.65, 0.7, 0.75, 0.78, 0.8, 0.82, 0.85, 0.88, 0.9):
+        for _ in range(25):
+            base = [word() for _ in range(300)]
+            near, at = base[:], list(range(2, 298))
+            rng.shuffle(at)
+            shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            while at:
+                trial = near[:]
+                trial[at.pop()] = word()
+                a, b = shingles(base), shingles(trial)
+                if len(a & b) / len(a | b) < target:
+                    break
+                near = trial
+            docs += [base, near if target >= 0.8 else trial]
+    hub = [word() for _ in range(300)]
+    docs += [[*hub[: 10 * k], word(), *hub[10 * k + 1 :]] for k in range(30)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    f = Forest(len(docs))
+    for a in range(len(docs)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                f.join(np.array([a]), np.array([b]))
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = sorted(r["doc_id"] for r in simhash.stage(spark, df, "").collect())
+    assert got == sorted(set(f.parent.tolist())) and 250 < len(got) < 500
+
+
+def test_large_buckets_are_compared_whole(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    docs = []
+    for _ in range(60):
+        w = base[:]
+        for at in rng.sample(range(200), rng.choice([2, 4, 6, 9])):
+            w[at] = word()
+        docs.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    f = Forest(len(docs))
+    for a in range(len(docs)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                f.join(np.array([a]), np.array([b]))
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in simhash.stage(spark, df, "").collect()) == sorted(set(f.parent.tolist()))
