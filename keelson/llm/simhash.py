@@ -425,15 +425,16 @@ def similar_components(rows: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates by five-word shingles: the one with the smallest doc_id.
+    """Keeps one row of each group of near-duplicates by five-word shingles: the one with the smallest doc_id.
 
     Near-duplicates are texts whose sets of shingles have a Jaccard similarity of 0.8 or more, and what a
     chain of them connects. MinHash bands give the candidates, and each is decided by its sets.
-    Rows with one doc_id are one document. Rows without a doc_id are kept if no row with one is like them.
+    Groups are of rows, not of doc_ids: rows that share a doc_id or have none stay if their texts are unlike.
+    A row without a doc_id stays if none with one is like it; of rows that agree in doc_id, one stays by its hash.
     """
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    rows = kept(signed(docs))
+    rows = kept(signed(docs.select(*DOCUMENT_COLUMNS)))
     joined = similar_components(rows)
-    rooted = rows.select("id", "doc_id").join(joined, F.col("id") == joined.node, "left").select("doc_id", F.coalesce("root", "id").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("doc_id").alias("its_id")).select("its_id")
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.its_id), "left_semi").dropDuplicates(["doc_id"])
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*DOCUMENT_COLUMNS).alias("hash"), "row")
+    rooted = rows.select("id", rank.alias("rank")).join(joined, F.col("id") == joined.node, "left")
+    keep = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("rank").alias("rank")).select("rank.row")
+    return rows.join(keep, "row", "left_semi").select(*DOCUMENT_COLUMNS)

@@ -363,3 +363,14 @@ def test_large_buckets_are_compared_whole(spark):
                 f.join(np.array([a]), np.array([b]))
     df = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in simhash.stage(spark, df, "").collect()) == sorted(set(f.parent.tolist()))
+
+
+def test_stage_keeps_rows_by_text_not_by_doc_id(spark):
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    near = texts[1] + " more"
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (4, near), (5, texts[3]), (5, texts[4]), (6, texts[5]), (6, texts[5]), (7, texts[5])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = simhash.stage(spark, df, "").collect()
+    want = [(None, texts[0]), (None, texts[2]), (4, near), (5, texts[3]), (5, texts[4]), (6, texts[5])]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
