@@ -108,7 +108,7 @@ def q28_contrast(spark: SparkSession, d: str) -> DataFrame:
     return inference.contrast(issuer_clusters(spark, d)).select(F.round("contrast").cast("bigint").alias("contrast_ppm"))
 
 
-DOMAIN, SEED, RESAMPLES = "cluster-draws", 7, 40
+DOMAIN, SEED, RESAMPLES = "cluster-draws", 7, 5000
 
 
 @register(f"""{STUDY60}, {_CLUSTERS}, g AS (SELECT count(*) AS n FROM ci),

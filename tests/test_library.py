@@ -1,6 +1,7 @@
 """Golden values and edge cases of the library."""
 
 import datetime as dt
+import hashlib
 import json
 import uuid
 
@@ -194,3 +195,25 @@ def test_streaming_and_entry_import():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registered_bootstrap_is_brute_force_with_5000(spark, monkeypatch):
+    from keelson.plans import study
+
+    groups = [(0, 3, 900, 1, -50), (1, 1, 40, 0, 0), (2, 0, 0, 2, 700), (3, 2, -300, 2, 10), (4, 5, 1250, 1, 333)]
+    monkeypatch.setattr(study, "issuer_clusters", lambda s, d: spark.createDataFrame(groups, "idx int, p_n long, p_sum long, s_n long, s_sum long"))
+    found, missing = [], 0
+    for r in range(5000):
+        picked = []
+        for k in range(r * 5, r * 5 + 5):
+            message = b"cluster-draws" + study.SEED.to_bytes(8, "big") + k.to_bytes(8, "big")
+            picked.append(groups[int.from_bytes(hashlib.sha256(message).digest()[:8], "big") % 5])
+        pn, ps, sn, ss = (sum(g[i] for g in picked) for i in (1, 2, 3, 4))
+        if pn and sn:
+            found.append(ps / pn - ss / sn)
+        else:
+            missing += 1
+    found.sort()
+    n = len(found)
+    row = study.q29_bootstrap(spark, "").first()
+    assert tuple(row) == (5000, missing, round(found[(n + 39) // 40 - 1]), round(found[(39 * n + 39) // 40 - 1]))
