@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
@@ -48,6 +49,25 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a Python worker that gives back, after each task, the memory that the task no longer uses.
+
+    Workers serve one stage after another, and allocators keep what was freed; so peaks would add up.
+    """
+
+    def wrapped(rows: Iterator) -> Iterator:
+        try:
+            yield from run(rows)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the named columns and the text, where a null text is an empty one."""
     return docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
@@ -66,7 +86,7 @@ def map_rows(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str,
             columns = step(batch, held) if start else step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def column_bytes(column: pa.Array) -> list[bytes]:

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, input_bytes, parts_for, shared_dir, texts
+from .common import documents, input_bytes, lean, parts_for, shared_dir, texts
 
 MAGIC = b"BITPACK1"
 BLOCK = 4096
@@ -214,7 +214,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder to a worker process; what it remembers serves later tasks."""
+    """One encoder to a worker process; what it remembers serves later tasks of the same worker."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -251,7 +251,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     parts = parts_for(spark, input_bytes(docs), FILE_BYTES)
     ordered = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "file string, n_docs long, n_ids long")
+    return ordered.mapInArrow(lean(run), "file string, n_docs long, n_ids long")
 
 
 def read_tokens(spark: SparkSession, folder: str, sizes: dict[str, int]) -> DataFrame:
@@ -273,7 +273,7 @@ def read_tokens(spark: SparkSession, folder: str, sizes: dict[str, int]) -> Data
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, by_key, column_bytes, documents, input_bytes, kept, map_rows, mix64, parts_for, release, runs
+from .common import DOCUMENT_COLUMNS, by_key, column_bytes, documents, input_bytes, kept, lean, map_rows, mix64, parts_for, release, runs
 
 #: Bytes of the strings that minimisers are taken from.
 GRAM = 20
@@ -231,7 +231,7 @@ def shared_minimisers(rows: DataFrame, length: int, amount: int) -> DataFrame:
                 hashes.append(found)
                 owners.append(t)
                 held += len(found)
-                if held > 3_000_000 or len(owners) == most:
+                if held > 1_000_000 or len(owners) == most:
                     yield from flush()
                     hashes, owners, held = [], [], 0
         if hashes:
@@ -268,8 +268,8 @@ def shared_minimisers(rows: DataFrame, length: int, amount: int) -> DataFrame:
         out = np.repeat(shared, size) & ~mark
         yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(h[out].view(np.int64))], names=["t", "h"])
 
-    sent = rows.select("t", "text").mapInArrow(send, "key long, t long, h long, packed binary, number binary, owners binary").repartition(parts, "key")
-    return sent.mapInArrow(decide, "t long, h long").groupBy("t").agg(F.collect_set("h").alias("hashes"))
+    sent = rows.select("t", "text").mapInArrow(lean(send), "key long, t long, h long, packed binary, number binary, owners binary").repartition(parts, "key")
+    return sent.mapInArrow(lean(decide), "t long, h long").groupBy("t").agg(F.collect_set("h").alias("hashes"))
 
 
 def united(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -345,7 +345,7 @@ def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
                         content = text[q : min(q + STRETCH, p + n) + length - 1]
                         held.add(g, content, d, [t], [q])
                         size += len(content) + 300
-            if size > 64 << 20:
+            if size > 24 << 20:
                 yield from flush(held)
                 held, size = Snippets(length), 0
         yield from flush(held)
@@ -384,8 +384,8 @@ def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
         yield work(held)
 
     parts = parts_for(rows.sparkSession, amount, 24 << 20)
-    sent = rows.select("t", "d", "text", "hashes").mapInArrow(send, SENT_DDL)
-    return sent.repartition(parts, "key").sortWithinPartitions("h").mapInArrow(merge, SPANS_DDL)
+    sent = rows.select("t", "d", "text", "hashes").mapInArrow(lean(send), SENT_DDL)
+    return sent.repartition(parts, "key").sortWithinPartitions("h").mapInArrow(lean(merge), SPANS_DDL)
 
 
 def marked(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -441,4 +441,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = 50) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source"), pa.array([None if t is None else len(t) for t in texts], pa.int64())], names=DOCUMENT_COLUMNS)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select(*DOCUMENT_COLUMNS, "whole", "a", "b").mapInArrow(cut, f"doc_id {kind}, text string, lang string, source string, n_chars long")
+    return rows.select(*DOCUMENT_COLUMNS, "whole", "a", "b").mapInArrow(lean(cut), f"doc_id {kind}, text string, lang string, source string, n_chars long")

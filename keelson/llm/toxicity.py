@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, column_bytes, documents, map_rows, texts
+from .common import DOCUMENT_COLUMNS, column_bytes, documents, lean, map_rows, texts
 from .licenses import words_of
 
 #: Slots of the hashed feature table, as a power of two.
@@ -117,8 +117,8 @@ def feature_counts(docs: DataFrame, known: np.ndarray, label: np.ndarray) -> np.
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()])], names=["k", "v"])
 
-    parts = texts(docs).mapInArrow(count, "k long, v binary")
-    added = parts.repartition(slots // SLAB, "k").sortWithinPartitions("k").mapInArrow(add, "k long, v binary")
+    parts = texts(docs).mapInArrow(lean(count), "k long, v binary")
+    added = parts.repartition(slots // SLAB, "k").sortWithinPartitions("k").mapInArrow(lean(add), "k long, v binary")
     table = np.zeros((3, slots), np.int64)
     for k, v in added.collect():
         table[:, k : k + SLAB] = np.frombuffer(v, np.int64).reshape(3, -1)
@@ -223,7 +223,7 @@ def extreme_value_law(docs: DataFrame, weights: np.ndarray, known: np.ndarray, l
         rows = [(i, float(c)) for i, c in enumerate(count) if c] + [(-1, float(len(maxima))), (-2, float(sum(m for m, _ in maxima))), (-3, float(sum(n for _, n in maxima)))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["k", "v"])
 
-    sums = dict(texts(docs).mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v")).collect())
+    sums = dict(texts(docs).mapInArrow(lean(run), "k long, v double").groupBy("k").agg(F.sum("v")).collect())
     held.unpersist()
     count = np.array([sums.get(i, 0.0) for i in range(len(bins))])
     count[-1] += 1
@@ -253,7 +253,7 @@ def probability_curve(docs: DataFrame, model: Model, known: np.ndarray, label: n
                 count[k] = count.get(k, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["k", "v"])
 
-    sums = texts(docs).mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v")).collect()
+    sums = texts(docs).mapInArrow(lean(run), "k long, v long").groupBy("k").agg(F.sum("v")).collect()
     held.unpersist()
     k, n = np.array([r[0] for r in sums]), np.array([r[1] for r in sums], float)
     y, x = k % 2, k // 2 * width
@@ -312,4 +312,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             clean = [scorer.probability(scorer.strength((t or "").encode())[0]) < 0.7 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, by_key, components, kept, parts_for, runs
+from .common import Forest, by_key, components, kept, lean, parts_for, runs
 
 #: Vectors to a tile.
 TILE = 2048
@@ -56,7 +56,7 @@ def principal_axes(distinct: DataFrame, dimension: int) -> np.ndarray:
                 total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimension * dimension)), pa.array(total.ravel())], names=["k", "v"])
 
-    sums = dict(distinct.select("embedding").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v")).collect())
+    sums = dict(distinct.select("embedding").mapInArrow(lean(run), "k long, v double").groupBy("k").agg(F.sum("v")).collect())
     moments = np.array([sums[k] for k in range(dimension * dimension)]).reshape(dimension, dimension)
     return np.linalg.eigh((moments + moments.T) / 2)[1][:, ::-1].copy()
 
@@ -114,7 +114,7 @@ def tile_links(distinct: DataFrame, dimension: int, threshold: float, tile: int)
                 more = [pa.array(cells[:, i]) if i < many else pa.array(np.zeros(len(cells), np.int32)) for i in range(AXES)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f"c{i}" for i in range(AXES))])
 
-    placed = kept(distinct.select("rep", "n", "label", "embedding").mapInArrow(place, f"rep long, n long, label {label}, embedding {kind}, " + ", ".join(f"c{i} int" for i in range(AXES))))
+    placed = kept(distinct.select("rep", "n", "label", "embedding").mapInArrow(lean(place), f"rep long, n long, label {label}, embedding {kind}, " + ", ".join(f"c{i} int" for i in range(AXES))))
     g = grid(placed)
     at = [f"c{i}" for i in range(g)]
     cells = placed.groupBy("label", *at).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
@@ -154,7 +154,7 @@ def tile_links(distinct: DataFrame, dimension: int, threshold: float, tile: int)
 
     rows = kept(pair)
     parts = parts_for(spark, rows.count() * dimension * 4, 16 << 20)
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, links long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(compare), "a long, b long, links long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
