@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, Forest, by_key, column_bytes, components, documents, kept, map_rows, mix64, parts_for, runs, texts
+from .common import DOCUMENT_COLUMNS, Forest, by_key, column_bytes, components, documents, kept, lean, map_rows, mix64, parts_for, runs, texts
+from .shingles import SHINGLE, band_keys, bucket_members, large_bucket_links, shingle_hashes, shingle_sets, verified
 
 BITS = 64
 #: Rows of a bucket that are compared pair by pair; larger buckets are linked by wildcard keys.
@@ -33,39 +34,23 @@ PROBE = 300
 KEYS = 80
 
 
-def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
-    """XXH64 of the word shingles in order; a text of fewer words is one shingle, and one without words has none."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    shingles: Iterator[bytes] = iter([b" ".join(tokens)]) if len(tokens) <= words else map(b" ".join, zip(*(tokens[i:] for i in range(words))))
-    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, max(1, len(tokens) - words + 1))
-
-
-def fingerprint(text: bytes, words: int, seed: int, count: int = 1) -> list[int]:
-    """``count`` words of 64 majority bits; the first is of the shingles' hashes, the others of hashes mixed from them."""
-    hashes = shingle_hashes(text, words, seed)
-    n = len(hashes)
-    if not n:
-        return [0] * count
-    total = np.zeros((count, BITS), np.int64)
-    for i in range(0, n, 1 << 16):
+def majority_bits(hashes: np.ndarray) -> int:
+    """The word of bits that over half the hashes have."""
+    total = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
-        for k in range(count):
-            bits = part if not k else mix64(part + np.uint64(k))
-            total[k] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, count: int = 1) -> DataFrame:
-    """(doc_id, fp, more): the fingerprint as a signed long, and its further words."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        fps = np.array([fingerprint(t, words, seed, count) for t in column_bytes(batch.column("text"))], np.uint64).reshape(-1, count).view(np.int64)
-        return {"doc_id": batch.column("doc_id"), "fp": fps[:, 0]} | {f"more{k}": fps[:, k] for k in range(1, count)}
+        fps = np.array([majority_bits(shingle_hashes(t, words, seed)) for t in column_bytes(batch.column("text"))], np.uint64)
+        return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}
 
-    more = "".join(f", more{k} long" for k in range(1, count))
-    return map_rows(texts(docs), step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{more}")
+    return map_rows(texts(docs), step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -83,7 +68,7 @@ def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), pa.array(np.r_[both.ravel(), n])], names=["k", "v"])
 
-    rows = dict(nodes.select("fp").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v")).collect())
+    rows = dict(nodes.select("fp").mapInArrow(lean(run), "k long, v long").groupBy("k").agg(F.sum("v")).collect())
     counts = np.array([rows.get(i, 0) for i in range(BITS * BITS + 1)], np.float64)
     return int(counts[-1]), counts[:-1].reshape(BITS, BITS)
 
@@ -159,32 +144,20 @@ def probe_keys(fps: np.ndarray, segments: list[tuple[list[int], int]]) -> np.nda
     return np.array(out)
 
 
-def near(a: np.ndarray, b: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
-    """Whether rows are within bounds[0] bits in the first word and, where given, bounds[1] in all words."""
-    if len(bounds) == 1:
-        return np.bitwise_count(a[..., 0] ^ b[..., 0]) <= bounds[0]
-    found = np.bitwise_count(a[..., 0] ^ b[..., 0]) <= bounds[0]
-    at = np.nonzero(found)
-    wide_a, wide_b = np.broadcast_arrays(a, b)
-    found[at] = np.bitwise_count(wide_a[at] ^ wide_b[at]).sum(axis=-1, dtype=np.int64) <= bounds[1]
-    return found
-
-
-def bucket_links(fps: np.ndarray, bounds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that connect exactly what links connect in one bucket, one fewer than its rows at most."""
     n = len(fps)
     forest = Forest(n)
-    if n <= PAIRWISE or len(bounds) > 1:
+    if n <= PAIRWISE:
         rows = max(1, min(512, (1 << 22) // n))
         for i in range(0, n, rows):
-            a, b = np.nonzero(near(fps[i : i + rows, None], fps[None, i:], bounds))
+            a, b = np.nonzero(np.bitwise_count(fps[i : i + rows, None] ^ fps[None, i:]) <= distance)
             forest.join(a + i, b + i)
     else:
-        first = fps[:, 0]
-        vary = np.bitwise_or.reduce(first ^ first[0])
+        vary = np.bitwise_or.reduce(fps ^ fps[0])
         bits = [b for b in range(BITS) if int(vary) >> b & 1]
-        for blank in combinations(bits, min(bounds[0], len(bits))):
-            masked = first & np.uint64((2**64 - 1) ^ sum(1 << b for b in blank))
+        for blank in combinations(bits, min(distance, len(bits))):
+            masked = fps & np.uint64((2**64 - 1) ^ sum(1 << b for b in blank))
             order = np.argsort(masked, kind="stable")
             same = masked[order[1:]] == masked[order[:-1]]
             forest.join(order[1:][same], order[:-1][same])
@@ -192,56 +165,50 @@ def bucket_links(fps: np.ndarray, bounds: tuple[int, ...]) -> tuple[np.ndarray,
     return far, forest.parent[far]
 
 
-def links(nodes: DataFrame, bounds: tuple[int, ...]) -> DataFrame:
-    """(a, b): verified pairs of nodes (id, fp, more...) whose components are those of all links within the bounds.
-
-    Two nodes link within bounds[0] bits of fp and, where a second bound is given, that many of all words.
-    """
+def links(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): verified pairs of fingerprints (fp) whose components are those of all links within ``distance`` bits."""
     spark = nodes.sparkSession
     n, both = bit_statistics(nodes)
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
-    segments = plan(n, both, bounds[0])
+    segments = plan(n, both, distance)
     probes = sum(math.comb(len(bits), t) for bits, t in segments)
-    words = [c for c in nodes.columns if c == "fp" or c.startswith("more")]
-    names = ["key", "id", *words]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1 << 15):
-                part = batch.slice(i, 1 << 15)
-                for keys in probe_keys(part.column("fp").to_numpy().view(np.uint64), segments):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(part.column(c) for c in names[1:])], names=names)
+                part = batch.column("fp").slice(i, 1 << 15)
+                for keys in probe_keys(part.to_numpy().view(np.uint64), segments):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part], names=["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, "key"):
-            keys, ids = table["key"].to_numpy(), table["id"].to_numpy()
-            fps = np.stack([table[c].to_numpy().view(np.uint64) for c in words], axis=1)
+            keys, fps = table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
             starts, ends = runs(keys)
             size = ends - starts
             found = []
             small = np.repeat(size <= 16, size)
             for d in range(1, int(min(16, size.max(initial=0)))):
-                i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:] & (ids[d:] != ids[:-d]))
-                i = i[near(fps[i], fps[i + d], bounds)]
+                i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:] & (fps[d:] != fps[:-d]))
+                i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= distance]
                 found.append((i, i + d))
             for s in np.flatnonzero(size > 16):
-                a, b = bucket_links(fps[starts[s] : ends[s]], bounds)
+                a, b = bucket_links(fps[starts[s] : ends[s]], distance)
                 found.append((a + starts[s], b + starts[s]))
             if found:
-                a, b = (ids[np.concatenate(x)] for x in zip(*found))
+                a, b = (fps[np.concatenate(x)].view(np.int64) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    keys = nodes.select("id", *words).mapInArrow(probe, ", ".join(f"{c} long" for c in names))
-    parts = parts_for(spark, n * probes * len(words), 2_000_000)
-    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+    keys = nodes.select("fp").mapInArrow(lean(probe), "key long, fp long")
+    parts = parts_for(spark, n * probes, 2_000_000)
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the smallest doc_id that links of ``distance`` bits or fewer reach."""
     found = kept(fingerprints(docs, words, seed))
     nodes = kept(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(nodes.withColumn("id", F.col("fp")), (distance,)), "a", "b")
+    joined = components(links(nodes, distance), "a", "b")
     rooted = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "root").select("fp", "component_id")
@@ -252,189 +219,68 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-#: Words of 64 bits and bounds of a comparison by fingerprints alone; the stage decides by the shingles themselves.
-WIDE, BOUNDS = 4, (11, 46)
-#: Words of the stage's shingles, and the least Jaccard similarity of near-duplicates, as a fraction.
-SHINGLE, SIMILAR = 5, (4, 5)
-#: Bands of MinHash values and values of a band. A pair of the least similarity shares no band with a chance of
-#: (1 - 0.8^5)^45, less than 2 in 10^8; one of a similarity of 0.1 shares any with 1 in 2,000.
-BANDS, VALUES = 45, 5
-#: Members of a bucket that are all paired at once; those of larger ones are first held against one of them, then across what that linked.
-FEW = 8
-MULTIPLY, ADD = (np.random.default_rng(42).integers(0, 2**32, BANDS * VALUES, np.uint32) | np.uint32(x) for x in (1, 0))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band, of the least values that its permutations give to any of the shingles."""
-    low = hashes.astype(np.uint32)
-    least = np.full(BANDS * VALUES, 2**32 - 1, np.uint32)
-    for i in range(0, len(low), 512):
-        least = np.minimum(least, (low[i : i + 512, None] * MULTIPLY + ADD).min(axis=0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, VALUES).T:
-        keys = mix64(keys ^ column.astype(np.uint64)) + np.uint64(1)
-    return keys
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of shingles, sorted, have the least Jaccard similarity or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+#: Differing bits at which the stage's search by fingerprints takes a pair as a candidate.
+STAGE_DISTANCE = 3
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """The rows with ``id`` (equal for equal sets of shingles), ``n`` (shingles of the set), ``keys`` and a number of their own, ``row``."""
+    """k1 and k2 (a hash of the whole row), doc_id, ``id`` (equal for equal sets of shingles), ``n`` (of them), ``fp`` and the bands' ``keys``."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        ids, sizes, keys = [], [], []
+        ids, sizes, fps, keys = [], [], [], []
         for text in column_bytes(batch.column("text")):
-            found = np.unique(shingle_hashes(text or b"", SHINGLE, 42))
-            ids.append(xxhash.xxh64_intdigest(found.tobytes()))
+            hashes = shingle_hashes(text or b"", SHINGLE, 42)
+            found = np.unique(hashes)
+            ids.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
+            fps.append(majority_bits(hashes))
             keys.append(band_keys(found).tobytes())
-        return dict(zip(batch.schema.names, batch.columns)) | {"id": np.array(ids, np.uint64).view(np.int64), "n": sizes, "keys": keys}
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_rows(docs, step, f"{schema}, id long, n long, keys binary").withColumn("row", F.monotonically_increasing_id())
-
-
-def possible(na: np.ndarray, ca: np.ndarray, nb: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    """Whether sets of na and nb shingles, of which others may have ca and cb, can have the least similarity."""
-    return sum(SIMILAR) * np.minimum(ca, cb) >= SIMILAR[0] * (na + nb)
-
+        return {c: batch.column(c) for c in ("k1", "k2", "doc_id")} | {"id": ids, "n": sizes, "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys}
 
-def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return map_rows(docs.select("k1", "k2", "doc_id", "text"), step, f"k1 long, k2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, id binary, n long, fp long, keys binary")
 
 
-def bucket_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, key): pairs of nodes (id, n, keys) that share a key with few others, or, with a key, members (id, n) of a large bucket."""
-    names = ["key", "id", "n"]
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes (id, fp) of one fingerprint or of linked ones, each with one other of its group."""
+    groups = kept(nodes.groupBy("fp").agg(F.min("id").alias("least")))
+    same = nodes.join(groups, "fp").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    side = lambda c: groups.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}"))
+    near = links(groups, STAGE_DISTANCE).distinct().join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b")
+    return same.union(near)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in names[1:])], names=names)
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "key"):
-            keys, ids, n = (table[c].to_numpy() for c in names)
-            starts, ends = runs(keys)
-            few = np.repeat(ends - starts <= FEW, ends - starts)
-            for d in range(1, FEW):
-                i = np.flatnonzero((keys[d:] == keys[:-d]) & few[d:])
-                i = i[possible(n[i], n[i], n[i + d], n[i + d])]
-                pairs = pair_batch(ids[i], ids[i + d])
-                yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(len(i), pa.int64())], names=["a", "b", "key"])
-            many = np.flatnonzero(~few)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[many]), pa.array(n[many]), pa.array(keys[many])], names=["a", "b", "key"])
 
-    rows = nodes.select("id", "n", "keys").mapInArrow(spread, "key long, id long, n long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long, key long")
-
-
-def shared_members(members: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members (key, id, n) of large buckets with ``c``, how many of their shingles other members have; only those that can be similar to one."""
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), column_bytes(batch.column("text"))):
-                found = np.unique(shingle_hashes(text, SHINGLE, 42)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), i))], names=["h", "id"])
-
-    ids = members.select("id").distinct()
-    chosen = nodes.join(ids, "id", "left_semi").select("row")
-    found = rows.join(chosen, "row", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(shingles, "h long, id long")
-    alone = found.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    with_c = members.join(alone, "id", "left").select("key", "id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
-    return with_c.filter(F.col("c") * SIMILAR[1] >= F.col("n") * SIMILAR[0])
-
-
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): in each bucket, the member with the largest share of common shingles, with each other one."""
-
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "key"):
-            keys, ids, n, c = (table[x].to_numpy() for x in ("key", "id", "n", "c"))
-            starts, ends = runs(keys)
-            for s, e in zip(starts, ends):
-                one = s + int(np.argmax(c[s:e] / np.maximum(n[s:e], 1)))
-                i = np.arange(s, e)
-                i = i[(i != one) & possible(n[i], c[i], n[one], c[one])]
-                yield pair_batch(ids[i], np.full(len(i), ids[one]))
-
-    return members.select("key", "id", "n", "c").repartition("key").sortWithinPartitions("key").mapInArrow(star, "a long, b long")
-
-
-def pairs_across(members: DataFrame) -> DataFrame:
-    """(a, b): all pairs of members (key, id, n, c, root) of one bucket that have different roots and can be similar."""
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "key"):
-            keys, ids, n, c, roots = (table[x].to_numpy() for x in ("key", "id", "n", "c", "root"))
-            starts, ends = runs(keys)
-            bucket = np.repeat(starts, ends - starts)
-            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])])
-            of_root = np.repeat(first, np.diff(np.r_[first, len(keys)]))
-            for i in np.flatnonzero(of_root > bucket):
-                j = np.arange(bucket[i], of_root[i])
-                j = j[possible(n[j], c[j], n[i], c[i])]
-                if len(j):
-                    yield pair_batch(ids[j], np.full(len(j), ids[i]))
-
-    return members.select("key", "id", "n", "c", "root").repartition("key").sortWithinPartitions("key", "root").mapInArrow(cross, "a long, b long")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): the pairs of nodes whose sets of shingles, made again from their texts, are similar."""
-    pairs = kept(pairs.distinct())
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    chosen = nodes.join(used, "id", "left_semi").select("row")
-    held = kept(rows.join(chosen, "row", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            hit = []
-            ids = [batch.column(c).to_pylist() for c in ("a", "b")]
-            held = [batch.column(c) for c in ("text_a", "text_b")]
-            for k, at in enumerate(zip(*ids)):
-                for i, texts in zip(at, held):
-                    if i not in sets:
-                        sets[i] = np.unique(shingle_hashes(texts[k].as_py().encode(), SHINGLE, 42))
-                hit.append(similar(sets[at[0]], sets[at[1]]))
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    with_texts = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return kept(with_texts.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
-
-
-def similar_components(rows: DataFrame) -> DataFrame:
+def similar_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the components that similar sets of shingles form, for every node that has a link."""
-    nodes = kept(rows.groupBy("id").agg(F.min("row").alias("row"), F.min("n").alias("n")))
-    found = kept(bucket_pairs(rows.join(nodes.select("row"), "row", "left_semi")))
-    pairs = found.filter("key IS NULL").select("a", "b")
-    members = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"), F.col("b").alias("n"))
-    if not members.take(1):
-        return components(verified(pairs, rows, nodes), "a", "b")
-    members = kept(shared_members(members, rows, nodes))
-    links = verified(pairs.union(star_pairs(members)), rows, nodes)
-    joined = kept(components(links, "a", "b"))
-    rooted = members.join(joined, members.id == joined.node, "left").select("key", "id", "n", "c", F.coalesce("root", "id").alias("root"))
-    return components(links.union(verified(pairs_across(rooted), rows, nodes)), "a", "b")
+    found = kept(bucket_members(nodes))
+    pairs = kept(found.filter("key IS NULL").select("a", "b").union(fingerprint_pairs(nodes)))
+    members = found.filter("key IS NOT NULL").select(F.col("a").alias("id"), "key", "block")
+    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
+    sets = shingle_sets(docs, nodes.join(used, "id").select("id", "k1", "k2"))
+    known = kept(verified(pairs, sets))
+    return components(kept(large_bucket_links(members, sets, known)), "a", "b")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates by five-word shingles: the one with the smallest doc_id.
 
     Near-duplicates are texts whose sets of shingles have a Jaccard similarity of 0.8 or more, and what a
-    chain of them connects. MinHash bands give the candidates, and each is decided by its sets.
+    chain of them connects. The search by fingerprints gives the candidates of few differing bits, MinHash
+    bands those that fingerprints can't tell from others, and each is decided by its sets.
     Groups are of rows, not of doc_ids: rows that share a doc_id or have none stay if their texts are unlike.
-    A row without a doc_id stays if none with one is like it; of rows that agree in doc_id, one stays by its hash.
+    A row without a doc_id stays if none with one is like it; of rows that agree in doc_id, one stays by its
+    hash, and of rows that agree in all columns one stays. Null and empty texts and texts without a word have
+    the empty set and are one group; an empty table gives none; other columns than those of documents go.
     """
-    rows = kept(signed(docs.select(*DOCUMENT_COLUMNS)))
-    joined = similar_components(rows)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*DOCUMENT_COLUMNS).alias("hash"), "row")
-    rooted = rows.select("id", rank.alias("rank")).join(joined, F.col("id") == joined.node, "left")
-    keep = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("rank").alias("rank")).select("rank.row")
-    return rows.join(keep, "row", "left_semi").select(*DOCUMENT_COLUMNS)
+    whole = [*DOCUMENT_COLUMNS, *(F.col(c).isNull() for c in DOCUMENT_COLUMNS)]
+    docs = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(F.lit(1), *whole).alias("k1"), F.xxhash64(F.lit(2), *whole).alias("k2"))
+    rows = kept(signed(docs))
+    once = rows.groupBy("id", "k1", "k2", "doc_id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.count("*").alias("copies"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "copies")
+    ranked = once.groupBy("id").agg(F.min(rank).alias("rank"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    keys = rows.groupBy("id").agg(F.min("keys").alias("keys"))
+    nodes = kept(ranked.join(keys, "id").select("id", "n", "fp", "keys", "rank.k1", "rank.k2", "rank"))
+    joined = similar_components(docs, nodes)
+    rooted = nodes.select("id", "rank").join(joined, F.col("id") == joined.node, "left")
+    keep = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("rank").alias("rank")).select("rank.k1", "rank.k2", "rank.copies")
+    left = docs.join(keep, ["k1", "k2"])
+    return left.filter("copies = 1").union(left.filter("copies > 1").dropDuplicates(["k1", "k2"])).select(*DOCUMENT_COLUMNS)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from llm_texts import TEXTS
 
-from keelson.llm import licenses, mixing, mixing_model, packed, pieces, quality, simhash, suffixes, toxicity, vectors
+from keelson.llm import licenses, mixing, mixing_model, packed, pieces, quality, shingles, simhash, suffixes, toxicity, vectors
 from keelson.llm.common import Forest
 from keelson.llm.queries import queries
 
@@ -65,9 +65,9 @@ def test_links_lose_none_in_large_buckets(monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
     fps = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 12, 200).astype(np.uint64)) for b in base])
-    whole = simhash.bucket_links(fps[:, None], (2,))
+    whole = simhash.bucket_links(fps, 2)
     monkeypatch.setattr(simhash, "PAIRWISE", 10)
-    wild = simhash.bucket_links(fps[:, None], (2,))
+    wild = simhash.bucket_links(fps, 2)
     for a, b in (whole, wild):
         f = Forest(len(fps))
         f.join(a, b)
@@ -83,6 +83,20 @@ def test_links_lose_none_in_large_buckets(monkeypatch):
         assert (simhash.probe_keys(a, segments) == simhash.probe_keys(b, segments)).any(axis=0).all()
 
 
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        sets = [np.unique(np.r_[rng.choice(base, rng.integers(25, 41), replace=False), rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)]) for _ in range(30)]
+        label = rng.integers(0, 25, 30)
+        links = [(i, j) for i in range(30) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        same = [(i, j) for i in range(30) for j in range(i) if label[i] == label[j]]
+        got, want = Forest(30), Forest(30)
+        for f, pairs in ((got, list(zip(*shingles.forest(sets, label))) + same), (want, links + same)):
+            f.join(*(np.array(x, int) for x in zip(*pairs)))
+        assert got.parent.tolist() == want.parent.tolist()
+
+
 def test_suffix_dedup(spark, edge):
     got = rows(suffixes.op6_suffix_array_dedup(spark, edge))
     first = {}
@@ -345,12 +359,15 @@ def test_stage_is_brute_force_jaccard(spark):
     assert got == sorted(set(f.parent.tolist())) and 250 < len(got) < 500
 
 
-def test_large_buckets_are_compared_whole(spark):
+@pytest.mark.parametrize("block", [1 << 18, 1 << 11])
+def test_large_buckets_are_compared_whole(spark, block, monkeypatch):
+    """With small blocks, what the first block leaves apart meets the others tile by tile."""
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base = [word() for _ in range(200)]
     docs = []
-    for _ in range(60):
+    for _ in range(80):
         w = base[:]
         for at in rng.sample(range(200), rng.choice([2, 4, 6, 9])):
             w[at] = word()

@@ -7,7 +7,7 @@ import numpy as np
 import sentencepiece
 
 import corpus_pipeline
-from keelson.llm import mixing, pieces, simhash, toxicity
+from keelson.llm import mixing, pieces, shingles, toxicity
 from keelson.llm.common import Forest, documents
 
 SF = "/root/testdata/sf0.001"
@@ -44,10 +44,10 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
     before = sorted((r["doc_id"], r["text"]) for r in now.collect())
     now = reread(spark, stages["simhash_near_dedup"](spark, now, SF), tmp_path / "2")
-    fps = np.array([simhash.fingerprint(t.encode(), 5, 42, simhash.WIDE) for _, t in before], np.uint64)
-    forest = Forest(len(fps))
-    for i in range(len(fps)):
-        forest.join(np.full(len(fps), i), np.where(simhash.near(fps[i][None], fps, simhash.BOUNDS), np.arange(len(fps)), i))
+    sets = [set(shingles.shingle_hashes(t.encode(), 5, 42).tolist()) for _, t in before]
+    forest = Forest(len(sets))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    forest.join(*(np.array(x, int) for x in zip(*links)))
     assert sorted(r["doc_id"] for r in now.collect()) == [before[i][0] for i in sorted(set(forest.parent.tolist()))]
 
     want = without_repeats({r["doc_id"]: r["text"] for r in now.collect()})
