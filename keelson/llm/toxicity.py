@@ -8,6 +8,8 @@ segments are calibrated by the extreme-value law of such maxima over clean docum
 Altschul), a document's significant segments are added up, and a logistic curve fitted on the labelled
 documents turns that into a probability.
 
+The prior counts features over all documents, held-out ones too; it sees no label of theirs.
+
 Edge cases: a null or empty text has no segment and gets the score of such a document; documents whose
 labels disagree take the majority, ties toxic; labels of unknown documents and null labels are left out;
 equal labelled texts count once; without labels of both kinds every score is 0.5; a null doc_id counts as
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +80,12 @@ def labels_of(ids: pa.Array, known: np.ndarray, label: np.ndarray) -> np.ndarray
     return np.where(known[at] == wanted, label[at], -1)
 
 
+def labelled(docs: DataFrame, known: np.ndarray, label: np.ndarray) -> DataFrame:
+    """(text, y) of the training documents; their ids, ``LABELLED`` at most, are broadcast."""
+    ids = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": known, "y": label.astype(np.int64)}), "doc_id long, y long")
+    return texts(docs).join(F.broadcast(ids), "doc_id").select("text", "y")
+
+
 def feature_counts(docs: DataFrame, known: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Documents with each feature: all, clean training and toxic training ones. The last column has their totals.
 
@@ -148,24 +157,26 @@ class Model:
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """(start, end, score) of every maximal-scoring segment, by one pass over the positive scores (Ruzzo and Tompa)."""
-    up = np.flatnonzero(score > 0)
-    if not len(up):
-        return []
+    """(start, end, score) of every maximal-scoring segment, by one pass over the positive scores (Ruzzo and Tompa).
+
+    Each segment that is held knows the nearest one before it whose left total is lower, so a search steps
+    over those that a later one has passed already, and the scan takes linear time whatever the scores are.
+    """
     total = np.r_[0.0, np.cumsum(score, dtype=np.float64)]
-    held: list[tuple[int, int, float, float]] = []
-    for i in up.tolist():
-        start, end, left, right = i, i + 1, total[i], total[i + 1]
+    up = np.flatnonzero(score > 0)
+    held: list[tuple[int, int, float, float, int]] = []
+    for start, left, right in zip(up.tolist(), total[up].tolist(), total[up + 1].tolist()):
+        end, j = start + 1, len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= right:
-                held.append((start, end, left, right))
+                held.append((start, end, left, right, j))
                 break
-            start, left = held[j][0], held[j][2]
+            start, _, left, _, lower = held[j]
             del held[j:]
-    return [(s, e, float(r - l)) for s, e, l, r in held]
+            j = lower
+    return [(s, e, r - l) for s, e, l, r, _ in held]
 
 
 class Scorer:
@@ -207,23 +218,22 @@ def extreme_value_law(docs: DataFrame, weights: np.ndarray, known: np.ndarray, l
     The rate makes the mean of exp(rate * score) one over the clean words, plus one word of the highest
     score that is never seen otherwise; the scale follows from the documents' maxima.
     """
-    held = docs.sparkSession.sparkContext.broadcast((weights, known, label))
+    held = docs.sparkSession.sparkContext.broadcast(weights)
     bins = np.linspace(LOW, HIGH, 421)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, label = held.value
-        scorer = Scorer(Model(weights))
+        scorer = Scorer(Model(held.value))
         count, maxima = np.zeros(len(bins)), []
         for batch in batches:
-            for i in np.flatnonzero(labels_of(batch.column("doc_id"), known, label) == 0).tolist():
-                score = scorer.words(batch.column("text")[i].as_py().encode())
+            for text in column_bytes(batch.column("text")):
+                score = scorer.words(text)
                 count += np.bincount(np.searchsorted(bins, score.astype(np.float32) - 1e-6), minlength=len(bins))[: len(bins)]
                 if len(score):
                     maxima.append((max((x[2] for x in maximal_segments(score)), default=0.0), math.log(len(score))))
         rows = [(i, float(c)) for i, c in enumerate(count) if c] + [(-1, float(len(maxima))), (-2, float(sum(m for m, _ in maxima))), (-3, float(sum(n for _, n in maxima)))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["k", "v"])
 
-    sums = dict(texts(docs).mapInArrow(lean(run), "k long, v double").groupBy("k").agg(F.sum("v")).collect())
+    sums = dict(labelled(docs, known, label).filter("y = 0").mapInArrow(lean(run), "k long, v double").groupBy("k").agg(F.sum("v")).collect())
     held.unpersist()
     count = np.array([sums.get(i, 0.0) for i in range(len(bins))])
     count[-1] += 1
@@ -239,21 +249,19 @@ def extreme_value_law(docs: DataFrame, weights: np.ndarray, known: np.ndarray, l
 
 def probability_curve(docs: DataFrame, model: Model, known: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """A logistic curve over the strength of the labelled documents, fitted to their histogram."""
-    held = docs.sparkSession.sparkContext.broadcast((model, known, label))
+    held = docs.sparkSession.sparkContext.broadcast(model)
     width = 0.05
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, label = held.value
-        scorer = Scorer(model)
+        scorer = Scorer(held.value)
         count: dict[int, int] = {}
         for batch in batches:
-            y = labels_of(batch.column("doc_id"), known, label)
-            for i in np.flatnonzero(y >= 0).tolist():
-                k = 2 * min(int(scorer.strength(batch.column("text")[i].as_py().encode())[0] / width), 1000) + int(y[i])
+            for text, y in zip(column_bytes(batch.column("text")), batch.column("y").to_pylist()):
+                k = 2 * min(int(scorer.strength(text)[0] / width), 1000) + y
                 count[k] = count.get(k, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["k", "v"])
 
-    sums = texts(docs).mapInArrow(lean(run), "k long, v long").groupBy("k").agg(F.sum("v")).collect()
+    sums = labelled(docs, known, label).mapInArrow(lean(run), "k long, v long").groupBy("k").agg(F.sum("v")).collect()
     held.unpersist()
     k, n = np.array([r[0] for r in sums]), np.array([r[1] for r in sums], float)
     y, x = k % 2, k // 2 * width
@@ -301,7 +309,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic, rows and columns as they are.
+
+    A null or empty text has no toxic passage and stays; a null doc_id or source changes nothing; repeated
+    rows go or stay together; without labels of both kinds every document stays; an empty table gives none;
+    columns beside those of documents go.
+    """
     docs = docs.select(*DOCUMENT_COLUMNS)
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = spark.sparkContext.broadcast(model)
