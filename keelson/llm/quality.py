@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, digits alike, white space single) and hashed; a line that more documents
 of its host (source) have than the limit is removed, and a document whose words it depletes is rejected.
-The limit is the larger of ``least`` documents and a ``share`` of the host's documents. A document is
-depleted when fewer than ``words_left`` words, or less than ``share_left`` of its words, stay.
+The limit is ``most`` documents of a host, whatever its size: text that so many pages of one host share is
+a template's, and a large host doesn't earn its boilerplate more room. A document is depleted when fewer than ``words_left`` words, or less than ``share_left`` of its words, stay.
 
 Edge cases: a null or empty text has no words and fails the base rules; null is a host of its own; lines
 without a word don't count; a line that a document repeats counts once for it, and all its occurrences are
@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOL = "[#*$%&|<>]"
 
-LEAST, SHARE, WORDS_LEFT, SHARE_LEFT = 20, 0.01, 50, 0.3
+MOST, WORDS_LEFT, SHARE_LEFT = 20, 50, 0.3
 
 
 def words_of(text: Column) -> Column:
@@ -64,21 +64,19 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("twice")
 
 
-def frequent_lines(docs: DataFrame, least: int, share: float) -> DataFrame:
-    """(host, line): lines in more documents of their host than its limit."""
+def frequent_lines(docs: DataFrame, most: int) -> DataFrame:
+    """(host, line): lines in more than ``most`` documents of their host."""
     rows = docs.select(host_of(F.col("source")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     lines = rows.select("host", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))).alias("line"))
-    limit = docs.groupBy(host_of(F.col("source")).alias("host")).agg(F.greatest(F.lit(float(least)), F.count("*") * share).alias("most"))
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least)
-    return counted.join(limit, "host").filter("n > most").select("host", "line", F.lit(True).alias("frequent"))
+    return lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("host", "line", F.lit(True).alias("frequent"))
 
 
-def quality(docs: DataFrame, least: int = LEAST, share: float = SHARE, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
+def quality(docs: DataFrame, most: int = MOST, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
     """The base counts, the words that stay when frequent lines go, and the verdict, for each document."""
     key = ["doc_id", "its_text", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     lines = base_counts(docs).select(*key, F.posexplode_outer("lines").alias("at", "one"))
     lines = lines.select(*key, F.col("one.line").alias("line"), F.col("one.words").alias("words"), F.coalesce(F.col("at") == 0, F.lit(True)).alias("first"))
-    joined = lines.join(frequent_lines(docs, least, share), ["host", "line"], "left")
+    joined = lines.join(frequent_lines(docs, most), ["host", "line"], "left")
     rows = joined.groupBy(*key).agg(F.sum(F.when(F.col("frequent"), F.col("words")).otherwise(0)).alias("removed"), F.sum(F.col("first").cast("int")).alias("rows"))
     left = F.col("n_words") - F.col("removed") / F.col("rows")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -98,7 +96,7 @@ w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_
 g AS (SELECT k, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 r AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM g) WHERE n > 1) GROUP BY k),
 l AS (SELECT k, host, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{GAP}', ' ', 'g')) AS norm FROM (SELECT k, host, unnest(lines) AS line FROM w)),
-f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT k) AS n FROM l GROUP BY ALL) JOIN (SELECT host, greatest({LEAST}, count(*) * {SHARE}) AS most FROM d GROUP BY host) USING (host) WHERE n > most),
+f AS (SELECT host, norm FROM l GROUP BY ALL HAVING count(DISTINCT k) > {MOST}),
 x AS (SELECT k, sum(len(regexp_extract_all(line, '{WORD}'))) AS removed FROM l JOIN f USING (host, norm) GROUP BY k),
 o AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, (len(words) - coalesce(removed, 0))::BIGINT AS words_left
