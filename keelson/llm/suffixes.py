@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, by_key, column_bytes, documents, input_bytes, kept, lean, map_rows, mix64, parts_for, release, runs
@@ -339,7 +339,7 @@ def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
                     continue
                 start, windows = stretches(minimisers)
                 h = minimisers[start].view(np.int64)
-                shared = np.isin(clipped(minimisers[start], width).view(np.int64), hashes.values.to_numpy())
+                shared = np.isin(clipped(minimisers[start], width).view(np.int64), hashes.values.to_numpy()) if hashes.is_valid else np.ones(len(start), bool)
                 for p, n, g in zip(start[shared].tolist(), windows[shared].tolist(), h[shared].tolist()):
                     for q in range(p, p + n, STRETCH):
                         content = text[q : min(q + STRETCH, p + n) + length - 1]
@@ -388,23 +388,39 @@ def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
     return sent.repartition(parts, "key").sortWithinPartitions("h").mapInArrow(lean(merge), SPANS_DDL)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def marked(docs: DataFrame, length: int = 50) -> DataFrame:
-    """The rows of ``docs`` with d, t, whole (a copy of a smaller document), and the starts and ends of what to remove."""
+    """The rows of ``docs`` with d, whole (a copy of a smaller document), and the starts and ends of what to remove.
+
+    A text is told by two hashes, 128 bits. Where different texts agree in the first one, they get names
+    of their own, and all their minimisers count as shared.
+    """
     columns = docs.columns
     amount = 2 * input_bytes(docs)
-    rows = docs.select(*columns, F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
-    plain = rows.select("d", "t", F.coalesce("text", F.lit("")).alias("text"))
-    keys = kept(rows.select("d", "t").distinct())
-    first = keys.groupBy("t").agg(F.min("d").alias("least"))
-    shared = kept(shared_minimisers(plain, length, amount).join(first, "t").select(F.col("t").alias("its_t"), F.col("least"), "hashes"))
-    some = plain.join(shared, (plain.t == shared.its_t) & (plain.d == shared.least)).select("t", "d", "text", "hashes")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(*columns, F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("d"), text_hash(text).cast("long").alias("t"), F.xxhash64(F.lit(1), text).alias("u"))
+    plain = rows.select("d", "t", "u", text.alias("text"))
+    keys = kept(rows.select("d", "t", "u").distinct())
+    first = keys.groupBy("t", "u").agg(F.min("d").alias("least"))
+    per_hash = first.groupBy("t").agg(F.min("u").alias("u0"), F.count("*").alias("texts"))
+    named = first.join(per_hash, "t").select("t", "u", "least", "texts", F.when(F.col("u") == F.col("u0"), F.col("t")).otherwise(F.xxhash64("t", "u")).alias("name"))
+    named = kept(named)
+    found = shared_minimisers(plain.select("t", "text"), length, amount)
+    shared = named.join(found, "t", "left").filter("hashes IS NOT NULL OR texts > 1")
+    shared = kept(shared.select(F.col("t").alias("its_t"), F.col("u").alias("its_u"), "least", "name", F.when(F.col("texts") == 1, F.col("hashes")).alias("hashes")))
+    some = plain.join(shared, (plain.t == shared.its_t) & (plain.u == shared.its_u) & (plain.d == shared.least)).select(F.col("name").alias("t"), "d", "text", "hashes")
     release(docs.sparkSession)
     spans = kept(removed_intervals(some, length, amount))
     release(docs.sparkSession)
-    merged = spans.groupBy("t").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
-    side = keys.join(first, "t").withColumn("whole", F.col("d") > F.col("least"))
-    side = side.filter("whole").select("d", "t", "whole", F.lit(None).cast("array<int>").alias("a"), F.lit(None).cast("array<int>").alias("b")).union(side.filter("not whole").join(merged, "t", "left").select("d", "t", "whole", "a", "b"))
-    return rows.join(side.select(F.col("d").alias("its_d"), F.col("t").alias("its_t"), "whole", "a", "b"), (rows.d == F.col("its_d")) & (rows.t == F.col("its_t"))).drop("its_d", "its_t")
+    merged = spans.groupBy("t").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")).withColumnRenamed("t", "name")
+    side = keys.join(named, ["t", "u"]).withColumn("whole", F.col("d") > F.col("least"))
+    none = F.lit(None).cast("array<int>")
+    side = side.filter("whole").select("d", "t", "u", "whole", none.alias("a"), none.alias("b")).union(side.filter("not whole").join(merged, "name", "left").select("d", "t", "u", "whole", "a", "b"))
+    its = side.select(F.col("d").alias("its_d"), F.col("t").alias("its_t"), F.col("u").alias("its_u"), "whole", "a", "b")
+    return rows.join(its, (rows.d == F.col("its_d")) & (rows.t == F.col("its_t")) & (rows.u == F.col("its_u"))).drop("its_d", "its_t", "its_u")
 
 
 def kept_bytes(text: bytes, whole: bool, a: list[int] | None, b: list[int] | None, length: int) -> tuple[bytes, int, int]:

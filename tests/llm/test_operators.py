@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 from llm_texts import TEXTS
+from pyspark.sql import functions
 
 from keelson.llm import licenses, mixing, mixing_model, packed, pieces, quality, shingles, simhash, suffixes, toxicity, vectors
 from keelson.llm.common import Forest
@@ -97,7 +99,11 @@ def test_forest_connects_what_links_connect():
         assert got.parent.tolist() == want.parent.tolist()
 
 
-def test_suffix_dedup(spark, edge):
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_dedup(spark, edge, collide, monkeypatch):
+    """Also where the first hash of a text has three values only."""
+    if collide:
+        monkeypatch.setattr(suffixes, "text_hash", lambda text: functions.length(text) % 3)
     got = rows(suffixes.op6_suffix_array_dedup(spark, edge))
     first = {}
     for i, t in sorted(((i if i is not None else 1 << 62, t) for i, t in texts())):
@@ -157,7 +163,7 @@ def test_quality_rules(spark, edge):
 def test_frequent_lines_deplete(spark):
     page = "\n".join(f"boilerplate line {w} that very many pages have" for w in "abcdefghij")
     docs = spark.createDataFrame([(i, page, "h") for i in range(30)] + [(100 + i, " ".join(f"own{i}{k}" for k in range(80)), "h") for i in range(30)], "doc_id long, text string, source string")
-    got = {r["doc_id"]: r["kept"] for r in rows(quality.quality(docs, least=20, share=0.01))}
+    got = {r["doc_id"]: r["kept"] for r in rows(quality.quality(docs, most=20))}
     assert not any(got[i] for i in range(30)) and all(got[100 + i] for i in range(30))
 
 
@@ -263,10 +269,56 @@ def test_lm_beats_its_base_on_held_out_text(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_scores_follow_from_the_documents_alone(spark, monkeypatch):
+    monkeypatch.setattr(mixing_model, "GROUP", 40)
+    monkeypatch.setattr(mixing_model, "GROUP_BYTES", 100_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first, again = (sorted((r["doc_id"], r["score"], r["base_score"]) for r in mixing_model.scored(docs.repartition(n)).collect()) for n in (1, 6))
+    assert first == again
+
+
+def test_lm_sets_documents_apart_that_occur_twice(spark):
+    rng = random.Random(8)
+    found = [" ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(200)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(found + found[:20])), "doc_id long, text string")
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in mixing_model.scored(docs).collect()}
+    out = {i for i in bits if zlib.crc32(str(i).encode()) % 5 == 1}
+    twice = [bits[i] for i in range(20) if not {i, i + 120} & out]
+    assert max(twice) < 0.7 * min(bits[i] for i in range(20, 120))
+
+
+@pytest.mark.parametrize("slabs", [1, 3, 50])
+def test_lm_counts_are_of_other_documents_and_of_what_went_before(slabs):
+    rng = random.Random(slabs)
+    found = [[rng.choice(["a", "b", "c", "dd"]) for _ in range(rng.randint(0, 30))] for _ in range(40)]
+    train = np.array([rng.random() < 0.7 for _ in found])
+    grams = mixing_model.Grams([" ".join(f).encode() for f in found], train, mixing_model.Reader())
+    ended = [f + [" "] for f in found]
+    for order in range(3):
+        keyed = [[tuple((["<<"] * (order > 0) + f)[max(i + (order > 0) - order, 0) : i + 1 + (order > 0)]) + ((i,) if i < order - 1 else ()) for i in range(len(f))] for f in ended]
+        total = Counter(k for ks, t in zip(keyed, train) for k in ks if t)
+        to, start, h = grams.sorted(order)
+        flat = [k for ks in keyed for k in ks]
+        slab, low = mixing_model.slab_of(h, slabs)
+        assert len(set(zip(slab.tolist(), low.tolist()))) == len(h) == len(set(flat)) and (np.diff(slab) >= 0).all()
+        every, seen = grams.counts(order, np.array([total[flat[to[s]]] for s in start]))
+        want = []
+        for ks, t in zip(keyed, train):
+            own, before = Counter(ks), Counter()
+            for k in ks:
+                want.append((total[k], total[k] - t * own[k] + before[k]))
+                before[k] += 1
+        assert list(zip(every.tolist(), seen.tolist())) == want
+
+
 def test_lm_bits_are_probabilities():
     tree = mixing_model.tree_of([5, 3, 2, 1, 1])
     p = [np.prod([mixing_model.squash(tree.first[n]) if b else 1 - mixing_model.squash(tree.first[n]) for n, b in zip(tree.node[a:b_], tree.bit[a:b_])]) for a, b_ in zip(tree.start[:-1], tree.start[1:])]
     assert sum(p) == pytest.approx(1)
+    flags, bits = mixing_model.mixers()
+    for mixer in (flags, bits):
+        logit, cell = np.linspace(-14, 14, 50).astype(np.float32), np.zeros(50, int)
+        assert (10.0 ** mixer.cost(logit, cell, np.ones(50, int)) + 10.0 ** mixer.cost(logit, cell, np.zeros(50, int))) == pytest.approx(np.ones(50), abs=1e-5)
 
 
 def test_toxicity(spark, edge):
@@ -288,6 +340,33 @@ def test_maximal_segments():
     assert toxicity.maximal_segments(np.array([-1.0])) == []
 
 
+def plain_segments(score):
+    """Every maximal segment by its definition: the best segment, of equals the shortest and then the first, and so on left and right of it."""
+    if not len(score):
+        return []
+    total = np.r_[0, np.cumsum(score)]
+    best, start, end = max(((total[j] - total[i], i - j, -i) for i in range(len(score)) for j in range(i + 1, len(score) + 1)))[0:3], 0, 0
+    value, start = best[0], -best[2]
+    if value <= 0:
+        return []
+    end = start - best[1]
+    return plain_segments(score[:start]) + [(start, end, value)] + [(s + end, e + end, v) for s, e, v in plain_segments(score[end:])]
+
+
+def test_maximal_segments_by_definition():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        score = rng.integers(-4, 5, rng.integers(0, 24)).astype(float)
+        assert sorted(x[2] for x in toxicity.maximal_segments(score)) == sorted(x[2] for x in plain_segments(score))
+
+
+def test_maximal_segments_take_linear_time():
+    for score in (np.tile([1.0, -2.0], 500_000), np.tile([2.0, -1.0], 500_000), np.r_[np.tile([1.0, -2.0], 250_000), np.tile([2.0, -1.5], 250_000)]):
+        began = time.process_time()
+        toxicity.maximal_segments(score)
+        assert time.process_time() - began < 5
+
+
 def test_vectors(spark, tmp_path):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(40, 8))
