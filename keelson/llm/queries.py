@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.OP3_SQL}
+    return {"op3_quality_rules": quality.OP3_SQL, "op6_suffix_array_dedup": suffixes.OP6_SQL, "op10_embedding_near_dedup": vectors.OP10_SQL}

@@ -447,6 +447,21 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str, length: int = 50) -
     return map_rows(rows, step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+#: The same by every window of 50 bytes as hexadecimal text, for DuckDB.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+x AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE w.doc_id > least),
+b AS (SELECT doc_id, i, coalesce(i > lag(i) OVER o + 50, true) AS first FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY ALL),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT g.doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(z) + 1 AS BIGINT)) AS h, sum(z - a) AS removed, count(*) AS spans FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = 50) -> DataFrame:
     """The documents without their repeated bytes; half characters at a cut go too, and n_chars counts what stays."""
     rows = marked(docs.select(*DOCUMENT_COLUMNS), length)

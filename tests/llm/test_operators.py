@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -17,7 +18,7 @@ from pyspark.sql import functions
 
 from keelson.llm import licenses, mixing, mixing_model, packed, pieces, quality, shingles, simhash, suffixes, toxicity, vectors
 from keelson.llm.common import Forest
-from keelson.llm.queries import queries
+from keelson.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,6 +168,18 @@ def test_frequent_lines_deplete(spark):
     assert not any(got[i] for i in range(30)) and all(got[100 + i] for i in range(30))
 
 
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op6_suffix_array_dedup", "op10_embedding_near_dedup"])
+def test_queries_against_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    found = con.execute(oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    got = queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(tuple(r[n] for n in names) for r in rows(got)) == Counter(found.fetchall())
+
+
 def test_licenses(spark, edge):
     got = {r["doc_id"]: r for r in rows(licenses.op7_license_scan(spark, edge))}
     r = got[9]
@@ -175,6 +188,53 @@ def test_licenses(spark, edge):
     accept = lambda p, t: licenses.compiled(p).run(t.encode().split(), 0)[0]
     assert accept("a [[ b c ]] d", "a d") == 2 and accept("a [[ b c ]] d", "a b c d") == 4 and accept("a [[ b c ]] d", "a b d") is None
     assert accept("a {2} d", "a d") == 2 and accept("a {2} d", "a x y d") == 4 and accept("a {2} d", "a x y z d") is None
+    assert accept("a {2:[0-9]+} d", "a 1 23 d") == 4 and accept("a {2:[0-9]+} d", "a x d") is None
+
+
+def filled(template, drop=False):
+    """A text that a template accepts: optional parts in or out, others replaced."""
+    text = re.sub(r"\{(\d+)(?::[^}]*)?\}", "2", template)
+    while "[[" in text:
+        text = re.sub(r"\[\[([^\[\]]*)\]\]", "" if drop else r"\1", text)
+    return text.split()
+
+
+@pytest.mark.parametrize("label", licenses.TEMPLATES)
+def test_license_texts_match_whole_or_not_at_all(label):
+    template = licenses.TEMPLATES[label]
+    automaton = licenses.compiled(template)
+    plain = re.compile(plain_pattern(template))
+    for words in (filled(template), filled(template, True)):
+        text = ["before", *words, "after"]
+        joined = " ".join(text).encode()
+        assert licenses.scan([w.encode() for w in text], joined, automaton)[0] and plain.search(" ".join(text) + " ")
+        for k in range(1, len(words), 7):
+            for broken in (words[:k] + words[k + 1 :], [*words[:k], "other", *words[k + 1 :]]):
+                found = licenses.scan([w.encode() for w in broken], " ".join(broken).encode(), automaton)
+                assert bool(found[0]) == bool(plain.search(" ".join(broken) + " ")) and (found[0] or found[1] < 1)
+
+
+def plain_pattern(template):
+    """The template as a regular expression over words that each have a space after them."""
+    out = []
+    for token in template.split():
+        m = re.fullmatch(r"\{(\d+)(?::(.+))?\}", token)
+        out.append("(?:" if token == "[[" else ")?" if token == "]]" else f"(?:{m[2] or r'\S+'} ){{0,{m[1]}}}" if m else f"{token} ")
+    return r"(?<!\S)" + "".join(out)
+
+
+def test_license_automata_against_regular_expressions():
+    rng = random.Random(9)
+    for _ in range(400):
+        parts = ["a"]
+        for _ in range(rng.randint(1, 6)):
+            parts.append(rng.choice(["a", "b", "c", "{1}", "{2}", "{2:[ab]}", "[[ a ]]", "[[ b c ]]", "[[ a [[ b ]] ]]"]))
+        template = " ".join([*parts, "d"])
+        words = [rng.choice("abcd") for _ in range(rng.randint(0, 14))]
+        text = " ".join(words) + " "
+        plain = re.compile(plain_pattern(template))
+        want = [i for i in range(len(words)) if plain.match(text, 2 * i)]
+        assert licenses.scan([w.encode() for w in words], text.encode(), licenses.compiled(template))[0] == want
 
 
 def test_token_files(spark, edge):
