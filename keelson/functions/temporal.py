@@ -51,6 +51,20 @@ def availability(precision: Column, delay_seconds: Column) -> Column:
     return F.when(precision.isin("second", "minute"), "exact").when((precision == DAY) & (delay_seconds == 0), "date_only").otherwise("unsupported")
 
 
+def available(value: Column, delay_seconds: Column) -> Column:
+    """(status, instant, day, defect) of a public time under a policy; a delay on anything but an exact time is a defect."""
+    status = availability(value["precision"], delay_seconds)
+    exact = value["precision"].isin("second", "minute")
+    instant = F.when(exact, F.timestamp_seconds(F.unix_timestamp(value["timestamp"]) + delay_seconds))
+    day = F.when(status == "date_only", F.make_date(value["year"], value["month"], value["day"]))
+    return F.struct(status.alias("status"), instant.alias("instant"), day.alias("day"), F.when(~exact & (delay_seconds > 0), "delay_on_coarse_time").alias("defect"))
+
+
+def normalized_utc(raw: Column) -> Column:
+    """A timestamp from a text with an offset; null for a naive one, which has no place in time."""
+    return F.when(raw.rlike(r"([Zz]|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(raw))
+
+
 def partial_date(raw: Column) -> Column:
     """YYYY[-MM[-DD]] with 00 for missing parts; null where it can't be one."""
     pattern = r"^([12][0-9]{3}|3000)(?:-([0-9]{2})(?:-([0-9]{2}))?)?$"

@@ -24,17 +24,23 @@ def resolve_identifier(requests: DataFrame, claims: DataFrame, subjects: DataFra
     return grouped.select("request_id", outcome.alias("outcome"), reason.alias("reason"), F.when(outcome == "resolved", F.col("subject_id")).alias("subject_id"))
 
 
-def resolve_listing(matches: DataFrame, request: str, listing: str, holds: Column) -> DataFrame:
+def resolve_listing(matches: DataFrame, request: str, listing: str, holds: Column, known: Column | None = None) -> DataFrame:
     """One row for each request from its candidate listings; ``holds`` is true, false, or null for unknown.
 
-    A request without a candidate has one row with a null listing.
+    A request without a candidate has one row with a null listing. With ``known``, a candidate counts only
+    if a claim of it was known at the request's time. A single candidate of unknown validity keeps its id,
+    though it is not resolved.
     """
     there = F.col(listing).isNotNull()
-    grouped = matches.groupBy(request).agg(F.count_if(there & F.coalesce(holds, F.lit(False))).alias("certain"), F.count_if(there & holds.isNull()).alias("uncertain"), F.min(F.when(holds, F.col(listing))).alias("only"))
+    may = there & F.coalesce(holds, F.lit(True))
+    claimed = F.coalesce(known, F.lit(False)) if known is not None else F.lit(True)
+    sure_one, vague_one = claimed & there & F.coalesce(holds, F.lit(False)), claimed & there & holds.isNull()
+    grouped = matches.groupBy(request).agg(F.count_if(may).alias("possible"), F.count_if(sure_one).alias("certain"), F.count_if(vague_one).alias("uncertain"), F.min(F.when(sure_one, F.col(listing))).alias("only"), F.min(F.when(vague_one, F.col(listing))).alias("vague"))
     sure, maybe = F.col("certain"), F.col("uncertain")
     outcome = F.when((sure == 1) & (maybe == 0), "resolved").when((sure + maybe) > 1, "ambiguous").otherwise("unresolved")
-    reason = F.when((sure == 1) & (maybe == 0), "exact").when(((sure + maybe) > 1) & (maybe > 0), "coarse_validity").when((sure + maybe) > 1, "multiple_matches").when(maybe == 1, "coarse_validity").otherwise("no_match")
-    return grouped.select(request, outcome.alias("outcome"), reason.alias("reason"), F.when(outcome == "resolved", F.col("only")).alias(listing))
+    unknown = (F.col("possible") > 0) & (sure + maybe == 0)
+    reason = F.when((sure == 1) & (maybe == 0), "exact").when(((sure + maybe) > 1) & (maybe > 0), "coarse_validity").when((sure + maybe) > 1, "multiple_matches").when(maybe == 1, "coarse_validity").when(unknown, "not_known_at_time").otherwise("no_match")
+    return grouped.select(request, outcome.alias("outcome"), reason.alias("reason"), F.when(outcome == "resolved", F.col("only")).when((sure == 0) & (maybe == 1), F.col("vague")).alias(listing))
 
 
 def unanimous(rows: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -33,6 +33,16 @@ def gaps(rows: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame
     return rows.select(key, reach.alias("gap_start"), F.col(start).alias("gap_end")).filter("gap_start < gap_end")
 
 
+def uncovered(rows: DataFrame, key: str, start: str, end: str, first: Column, last: Column) -> DataFrame:
+    """(key, gap_start, gap_end): what a key's half-open intervals leave open of the closed days [first, last]; open bounds reach beyond."""
+    lo, hi = F.coalesce(F.greatest(F.col(start), first), first), F.coalesce(F.least(F.col(end), F.date_add(last, 1)), F.date_add(last, 1))
+    inside = rows.select(key, lo.alias("a"), hi.alias("b")).filter("a < b")
+    edge = rows.select(key).distinct().select(key, F.date_add(last, 1).alias("a"), F.date_add(last, 1).alias("b"))
+    w = Window.partitionBy(key).orderBy("a", "b")
+    reach = F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), first)
+    return inside.union(edge).select(key, reach.alias("gap_start"), F.col("a").alias("gap_end")).filter("gap_start < gap_end")
+
+
 def sweep(rows: DataFrame, start: str, end: str, owner: str, partition: str) -> DataFrame:
     """(partition, peak_active, peak_owners, peak_repeats): the most closed intervals at once, in each partition.
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import require
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose reference has no target; null references are not references."""
@@ -12,14 +17,36 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
 
 
 def ancestors(spark: SparkSession, edges: DataFrame, depth: int = 128) -> DataFrame:
-    """(node, ancestor, steps) with each node as its own ancestor at zero; deeper than ``depth`` raises."""
-    edges.createOrReplaceTempView("lineage_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, ancestor, steps) MAX RECURSION LEVEL {depth} AS (
-            SELECT node, node, 0 FROM lineage_edges
-            UNION ALL
-            SELECT w.node, e.parent, w.steps + 1 FROM walk w JOIN lineage_edges e ON w.ancestor = e.node WHERE e.parent IS NOT NULL
-        ) SELECT node, ancestor, steps FROM walk""")
+    """(node, ancestor, steps) with each node as its own ancestor at zero, from (node, parent); deeper than ``depth`` raises.
+
+    A frontier of pairs goes up one step in each round; rounds are written to the shared folder, so that
+    neither the number of rows nor the length of the plan is bounded. A cycle never ends, so it raises too.
+    """
+    up = stored(edges.select("node", "parent").filter("parent IS NOT NULL").distinct())
+    found = [stored(edges.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")).distinct())]
+    step = found[0]
+    while True:
+        step = step.select("node", F.col("ancestor").alias("via"), "steps").join(up.select(F.col("node").alias("via"), F.col("parent").alias("ancestor")), "via")
+        step = stored(step.select("node", "ancestor", (F.col("steps") + 1).alias("steps")).distinct())
+        if step.isEmpty():
+            break
+        if len(found) > depth or has_cycle(step):
+            raise ValueError("lineage has a cycle" if has_cycle(step) else f"lineage is deeper than {depth}")
+        found.append(step)
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows without their lineage, in the folder that the session's checkpoints go to."""
+    context = rows.sparkSession.sparkContext
+    if rows.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
+    return rows.checkpoint(eager=True)
 
 
 def has_cycle(walk: DataFrame) -> bool:
@@ -45,3 +72,31 @@ def families(rows: DataFrame, key: str, family: str, primary: Column) -> DataFra
 def differences(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of either side that the other lacks, with their multiplicity; both empty if the sides are equal."""
     return left.exceptAll(right), right.exceptAll(left)
+
+
+def compared(parent: DataFrame, candidate: DataFrame, keys: list[str], digest: str, mutable: Column | None = None) -> DataFrame:
+    """Keys with what a candidate does to its parent: same, added, removed, changed, or allowed where ``mutable`` holds for the key."""
+    both = cover(parent, candidate, keys, digest)
+    free = mutable if mutable is not None else F.lit(False)
+    state = F.col("state")
+    return both.withColumn("state", F.when(state == "match", "same").when(state == "undeclared", "added").when(state == "missing", "removed").when(free, "allowed").otherwise("changed"))
+
+
+def merged_claims(*parts: DataFrame, key: str = "external_identifier_id") -> DataFrame:
+    """Claims of several sources as one, where equal ones are one; two different ones of a key raise when read."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    one = every.distinct()
+    twice = F.count("*").over(Window.partitionBy(key)) > 1
+    return require(one.withColumn("twice", twice), ~F.col("twice"), "one claim with two payloads").drop("twice")
+
+
+def appended(existing: DataFrame, additions: DataFrame | None) -> DataFrame:
+    """Existing records with what an optional enrichment adds; without a result they stay as they are."""
+    return existing if additions is None else existing.unionByName(additions).distinct()
+
+
+def subset(a: Column, b: Column) -> Column:
+    """Whether all elements of an array are in another."""
+    return F.size(F.array_except(a, b)) == 0

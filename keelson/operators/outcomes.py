@@ -24,6 +24,12 @@ def return_of(entry: str, exit_: str) -> Column:
     return F.col(exit_).cast("double") / F.col(entry).cast("double") - 1
 
 
+def return_e15(entry: str, exit_: str) -> Column:
+    """The exact return of two prices, in units of 1e-15 and rounded half up: no double is made."""
+    ratio = F.col(exit_).cast("decimal(18,2)") / F.col(entry).cast("decimal(18,2)")
+    return (F.round(ratio, 15) * F.lit(10**15).cast("decimal(17,0)")).cast("bigint") - F.lit(10**15)
+
+
 def outcome_rows(events: DataFrame, sessions: DataFrame, bars: DataFrame, benchmark: DataFrame, *, horizons: tuple[int, ...], coverage: str, excluded: Column, unresolved: Column, terminal: Column, rejected: Column | None = None, lag: int = 0) -> DataFrame:
     """event_id, horizon, entry and exit, prices, status and returns in millionths.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal, localcontext
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +60,29 @@ def repeated_excess(rows: DataFrame, *key: str) -> DataFrame:
 def first_k(rows: DataFrame, by: str, value: str, k: int) -> DataFrame:
     """The first k distinct values of each group, in order."""
     return rows.select(by, value).distinct().withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(value))).filter(F.col("k") <= k)
+
+
+def exact_distribution(rows: DataFrame, by: str, value: str, unit: int = 1) -> dict:
+    """By group: n and, to 50 digits, mean, median, extremes, nearest-rank deciles and the share above zero.
+
+    Values are whole numbers of 1 / unit. Ranks and sums are taken in the cluster; the driver divides.
+    """
+    def shown(x: Fraction) -> Decimal:
+        with localcontext() as c:
+            c.prec, c.rounding = 50, ROUND_HALF_EVEN
+            return Decimal(x.numerator) / Decimal(x.denominator)
+
+    n = F.col("n")
+    whole = lambda x: F.floor(x).cast("int")
+    found = ranked(rows.filter(F.col(value).isNotNull()), by, value).groupBy(by).agg(F.max("n").alias("n"), F.sum(value).alias("sum"), (at_rank(value, whole((n + 1) / 2)) + at_rank(value, whole(n / 2) + 1)).alias("twice"), F.min(value).alias("low"), F.max(value).alias("high"), at_rank(value, whole((n + 9) / 10)).alias("p10"), at_rank(value, whole((9 * n + 9) / 10)).alias("p90"), F.count_if(F.col(value) > 0).alias("positive"))
+    out = {}
+    for r in found.collect():
+        f = lambda x, d=1: shown(Fraction(x) / d / unit)
+        out[r[by]] = {"n": r["n"], "mean": f(r["sum"], r["n"]), "median": f(r["twice"], 2), "minimum": f(r["low"]), "maximum": f(r["high"]), "p10": f(r["p10"]), "p90": f(r["p90"]), "positive_fraction": shown(Fraction(r["positive"], r["n"]))}
+    return out
+
+
+def count_map(rows: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, counts): how many rows of each group have each key, as a map in order of the key; null is 'none'."""
+    one = rows.groupBy(by, F.coalesce(F.col(key).cast("string"), F.lit("none")).alias("key")).count()
+    return one.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "count")))).alias("counts"))

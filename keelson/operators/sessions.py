@@ -40,3 +40,22 @@ def nth_session(events: DataFrame, sessions: DataFrame, ordinal: str = "entry_or
 def with_horizons(events: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Every event once for every horizon; none is lost."""
     return events.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+
+
+def open_of(sessions: DataFrame) -> Column:
+    """The opening that a session dimension states; its own column where it has one, else 14:30 UTC of the day."""
+    if "open_utc" in sessions.columns:
+        return F.col("open_utc")
+    return F.timestamp_seconds(F.unix_date("session_date").cast("long") * 86400 + 52200)
+
+
+def previous_completed(events: DataFrame, instant: Column, sessions: DataFrame) -> DataFrame:
+    """Events with ``completed_date``: the last session that had closed at an instant; sessions have close_utc."""
+    day = F.to_date(instant)
+    before = F.lag("session_date").over(Window.orderBy("session_date"))
+    upto = F.lead("session_date").over(Window.orderBy("session_date"))
+    steps = sessions.select("session_date", "close_utc", before.alias("prior"), F.coalesce(upto, F.date_add("session_date", 30)).alias("following"))
+    at = steps.select("session_date", "close_utc", "prior", F.explode(F.sequence("session_date", F.date_sub("following", 1))).alias("its_day"))
+    found = events.join(at, day == F.col("its_day"), "left")
+    closed = F.col("close_utc") <= instant
+    return found.withColumn("completed_date", F.when(closed, F.col("session_date")).otherwise(F.col("prior"))).drop("session_date", "close_utc", "prior", "its_day")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendars import simple_sessions
 from ..operators import outcomes
+from ..operators.lineage import stored
 from ..tables import benchmark_bars, daily_bars, order_events
 
 HORIZONS, COVERAGE = (20, 60, 90), "2001-06-29"
@@ -30,7 +31,7 @@ def register(sql: str | None = None):
 
 def study(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...] = HORIZONS, lag: int = 0) -> DataFrame:
     """The outcome rows of all order events; issuers divisible by 997 stand for contradictory identities."""
-    bars = daily_bars(spark, sf_dir)
+    bars = stored(daily_bars(spark, sf_dir))
     return outcomes.outcome_rows(
         order_events(spark, sf_dir), simple_sessions(spark), bars, benchmark_bars(bars), horizons=horizons, coverage=COVERAGE, lag=lag,
         excluded=(F.col("event_type") == "other") | (F.col("family") == "5-LOW"),

@@ -9,7 +9,7 @@ from ..functions import ids, parse, temporal
 from ..functions.calendars import simple_sessions
 from ..operators import identity, intervals, lineage, reports, sessions
 from ..sources import store
-from ..sources.readers import exclusion
+from ..sources.readers import exclusion, reference_groups
 from ..tables import order_events, table
 from .common import EV, register
 
@@ -267,10 +267,14 @@ def q35_money_range(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", (F.col("r.lower") * 100).cast("bigint").alias("low"), (F.col("r.upper") * 100).cast("bigint").alias("high"))
 
 
-@register("SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS pages, count(DISTINCT url) AS urls, min(page_id) AS first_page FROM pages GROUP BY 1")
+@register("""WITH r AS (SELECT o_orderkey // 4 AS a, o_custkey AS cik, CASE WHEN o_orderkey % 20 = 0 THEN '4/A' ELSE '4' END AS form, o_orderkey % 3 = 0 AS twice FROM orders), x AS (SELECT a, cik, form FROM r UNION ALL SELECT a, cik, form FROM r WHERE twice)
+SELECT CAST(a AS VARCHAR) AS accession, array_to_string(list_sort(list(DISTINCT form)), ',') AS forms, count(DISTINCT (cik, form)) AS literals, count(*) - count(DISTINCT (cik, form)) AS repeats, count(DISTINCT form) > 1 AS conflict, CASE WHEN count(DISTINCT form) = 1 THEN 'f' || CAST(min(cik) AS VARCHAR) END AS locator FROM x GROUP BY a""")
 def q36_reference_groups(spark: SparkSession, d: str) -> DataFrame:
-    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    return table(spark, d, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.count_distinct("url").alias("urls"), F.min(F.struct("page_id", "url"))["page_id"].alias("first_page"))
+    """Index rows of four orders each: some are there twice, and some groups disagree on their form."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    rows = table(spark, d, "orders").select(F.floor(k / 4).cast("string").alias("accession"), c.alias("cik"), F.lit("n").alias("company"), F.when(k % 20 == 0, "4/A").otherwise("4").alias("form"), F.lit("2024-01-02").alias("filed"), F.concat(F.lit("f"), c).alias("file_name"), (k % 3 == 0).alias("twice"))
+    found = reference_groups(rows.drop("twice").union(rows.filter("twice").drop("twice")))
+    return found.select("accession", F.array_join("forms", ",").alias("forms"), "literals", "repeats", "conflict", "locator")
 
 
 @register("WITH s AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, CAST(o_custkey AS VARCHAR) AS issuer FROM orders), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY month ORDER BY issuer) AS INTEGER) AS k FROM s) SELECT month, issuer, k FROM r WHERE k <= 4")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import control
+from ..functions import checks
 from ..functions.calendars import simple_sessions
 from ..operators import inference, lineage, outcomes, reports, sessions
-from ..tables import daily_bars, order_events
-from .common import BAR, CAL, EV, HORIZONS, NEXT, STUDY, STUDY60, register, study, study_sql
+from ..tables import order_events, table
+from .common import BAR, CAL, EV, NEXT, STUDY, STUDY60, register, study, study_sql
 
 STATUSES = outcomes.STATUSES
 _VALUES = ", ".join(f"('{s}')" for s in STATUSES)
@@ -90,7 +92,7 @@ def q26_arm_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CLUSTERS = """cl AS (SELECT issuer_id, count(*) FILTER (WHERE event_type = 'equity_purchase') AS p_n, CAST(coalesce(sum(excess_ppm) FILTER (WHERE event_type = 'equity_purchase'), 0) AS BIGINT) AS p_sum, count(*) FILTER (WHERE event_type = 'equity_sale') AS s_n, CAST(coalesce(sum(excess_ppm) FILTER (WHERE event_type = 'equity_sale'), 0) AS BIGINT) AS s_sum FROM st WHERE status = 'complete' GROUP BY issuer_id),
-ci AS (SELECT *, CAST(row_number() OVER (ORDER BY issuer_id) - 1 AS INTEGER) AS idx FROM cl WHERE p_n + s_n > 0)"""
+ci AS MATERIALIZED (SELECT *, CAST(row_number() OVER (ORDER BY issuer_id) - 1 AS INTEGER) AS idx FROM cl WHERE p_n + s_n > 0)"""
 
 
 def issuer_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -108,15 +110,17 @@ def q28_contrast(spark: SparkSession, d: str) -> DataFrame:
     return inference.contrast(issuer_clusters(spark, d)).select(F.round("contrast").cast("bigint").alias("contrast_ppm"))
 
 
-DOMAIN, SEED, RESAMPLES = "cluster-draws", 7, 5000
+DOMAIN, SEED, RESAMPLES = "cluster-draws", inference.FIXED["seed"], inference.FIXED["resamples"]
+PLAN = inference.Plan()
+_BOOTSTRAP = f"""g AS MATERIALIZED (SELECT count(*) AS n FROM ci),
+w AS MATERIALIZED (SELECT i // n AS resample, CAST(('0x' || substr(sha256(encode('{DOMAIN}') || unhex('{SEED:016x}') || unhex(lpad(to_hex(i), 16, '0'))), 1, 16))::UBIGINT % n AS INTEGER) AS idx FROM (SELECT unnest(range({RESAMPLES} * n)) AS i, n FROM g)),
+r AS (SELECT resample, sum(p_n) AS pn, sum(p_sum) AS ps, sum(s_n) AS sn, sum(s_sum) AS ss FROM w JOIN ci USING (idx) GROUP BY 1),
+c AS MATERIALIZED (SELECT CAST(ps AS DOUBLE) / nullif(pn, 0) - CAST(ss AS DOUBLE) / nullif(sn, 0) AS contrast FROM r),
+k AS MATERIALIZED (SELECT contrast, row_number() OVER (ORDER BY contrast) AS k, count(*) OVER () AS n FROM c WHERE contrast IS NOT NULL),
+bt AS MATERIALIZED (SELECT (SELECT count(*) FROM c) AS resamples, (SELECT count(*) FROM c WHERE contrast IS NULL) AS missing, max(CASE WHEN k = (n + 39) // 40 THEN contrast END) AS lower, max(CASE WHEN k = (39 * n + 39) // 40 THEN contrast END) AS upper FROM k)"""
 
 
-@register(f"""{STUDY60}, {_CLUSTERS}, g AS (SELECT count(*) AS n FROM ci),
-w AS (SELECT i, ('0x' || substr(sha256(encode('{DOMAIN}') || unhex('{SEED:016x}') || unhex(lpad(to_hex(i), 16, '0'))), 1, 16))::UBIGINT AS word FROM (SELECT unnest(range({RESAMPLES} * (SELECT n FROM g))) AS i)),
-r AS (SELECT i // (SELECT n FROM g) AS resample, sum(p_n) AS pn, sum(p_sum) AS ps, sum(s_n) AS sn, sum(s_sum) AS ss FROM w JOIN ci ON ci.idx = (w.word % (SELECT n FROM g)) GROUP BY 1),
-c AS (SELECT CAST(ps AS DOUBLE) / nullif(pn, 0) - CAST(ss AS DOUBLE) / nullif(sn, 0) AS contrast FROM r),
-k AS (SELECT contrast, row_number() OVER (ORDER BY contrast) AS k, count(*) OVER () AS n FROM c WHERE contrast IS NOT NULL)
-SELECT (SELECT count(*) FROM c) AS resamples, (SELECT count(*) FROM c WHERE contrast IS NULL) AS missing, CAST(round(max(CASE WHEN k = (n + 39) // 40 THEN contrast END)) AS BIGINT) AS lower_ppm, CAST(round(max(CASE WHEN k = (39 * n + 39) // 40 THEN contrast END)) AS BIGINT) AS upper_ppm FROM k""")
+@register(f"{STUDY60}, {_CLUSTERS}, {_BOOTSTRAP} SELECT resamples, missing, CAST(round(lower) AS BIGINT) AS lower_ppm, CAST(round(upper) AS BIGINT) AS upper_ppm FROM bt")
 def q29_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     groups = issuer_clusters(spark, d).select("idx", "p_n", "p_sum", "s_n", "s_sum")
     size = groups.count()
@@ -124,12 +128,25 @@ def q29_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return inference.bootstrap(drawn, groups).select("resamples", "missing", F.round("lower").cast("bigint").alias("lower_ppm"), F.round("upper").cast("bigint").alias("upper_ppm"))
 
 
-@register(f"""{STUDY60}, {_CLUSTERS}, t AS (SELECT coalesce(sum(p_n), 0) AS pn, coalesce(sum(s_n), 0) AS sn, count(*) FILTER (WHERE p_n > 0) AS pi, count(*) FILTER (WHERE s_n > 0) AS si, sum(p_sum) AS ps FROM ci)
-SELECT pn < 200 AS purchase_too_few_events, sn < 200 AS sale_too_few_events, pi < 200 AS purchase_too_few_issuers, si < 200 AS sale_too_few_issuers, coalesce(ps <= 2500 * pn, true) AS purchase_net25_not_positive FROM t""")
+def analysis_rows(rows: DataFrame) -> DataFrame:
+    """Outcome rows with the selection and timing that an analysis asks for."""
+    s = F.col("status")
+    return rows.withColumn("selection", F.when(s == "excluded", "excluded").otherwise("selected")).withColumn("timing_eligible", s != "rejected")
+
+
+_REASONS = " ".join(f"""UNION ALL SELECT {i}, '{arm}:{what}' FROM arm_{short} WHERE {test}""" for short, arm, k in (("p", "equity_purchase", 0), ("s", "equity_sale", 3)) for i, what, test in ((k + 1, "complete_events_below_minimum", "complete < 1000"), (k + 2, "complete_issuers_below_minimum", "issuers < 200"), (k + 3, "actionable_coverage_below_minimum_or_undefined", "actionable = 0 OR complete * 10 < actionable * 9")))
+
+
+@register(f"""{STUDY60}, {_CLUSTERS}, {_BOOTSTRAP},
+arm_p AS MATERIALIZED (SELECT count(*) FILTER (WHERE status = 'complete') AS complete, count(DISTINCT CASE WHEN status = 'complete' THEN issuer_id END) AS issuers, count(*) FILTER (WHERE status NOT IN ('excluded', 'rejected')) AS actionable, sum(excess_ppm) FILTER (WHERE status = 'complete') AS total FROM st WHERE event_type = 'equity_purchase'),
+arm_s AS MATERIALIZED (SELECT count(*) FILTER (WHERE status = 'complete') AS complete, count(DISTINCT CASE WHEN status = 'complete' THEN issuer_id END) AS issuers, count(*) FILTER (WHERE status NOT IN ('excluded', 'rejected')) AS actionable FROM st WHERE event_type = 'equity_sale'),
+why AS (SELECT 7 AS i, 'missing_arm_resamples_above_maximum' AS reason FROM bt WHERE missing * 100 > resamples UNION ALL SELECT 8, 'undefined_primary_statistics' FROM bt, arm_p WHERE lower IS NULL OR complete = 0
+ UNION ALL SELECT 9, 'contrast_lower_not_strictly_positive' FROM bt WHERE lower <= 0 UNION ALL SELECT 10, 'purchase_net25_not_strictly_positive' FROM arm_p WHERE complete > 0 AND total <= 2500 * complete {_REASONS})
+SELECT CASE WHEN min(i) <= 8 THEN 'insufficient' WHEN min(i) IS NOT NULL THEN 'negative' ELSE 'positive' END AS verdict, coalesce(string_agg(reason, ',' ORDER BY i), 'all_proposed_conditions_met_conditional_only') AS reasons FROM why""")
 def q30_verdict(spark: SparkSession, d: str) -> DataFrame:
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    t = issuer_clusters(spark, d).agg(total("p_n").alias("pn"), total("s_n").alias("sn"), F.count_if(F.col("p_n") > 0).alias("pi"), F.count_if(F.col("s_n") > 0).alias("si"), F.sum("p_sum").alias("ps"))
-    return t.select((F.col("pn") < 200).alias("purchase_too_few_events"), (F.col("sn") < 200).alias("sale_too_few_events"), (F.col("pi") < 200).alias("purchase_too_few_issuers"), (F.col("si") < 200).alias("sale_too_few_issuers"), F.coalesce(F.col("ps") <= 2500 * F.col("pn"), F.lit(True)).alias("purchase_net25_not_positive"))
+    rows = lineage.stored(analysis_rows(study(spark, d, (60,))))
+    found = inference.analyze_horizon(rows, "excess_ppm", 1_000_000, 60, PLAN, DOMAIN)
+    return spark.createDataFrame([(found["verdict"], ",".join(found["reasons"]))], "verdict string, reasons string")
 
 
 @register(f"{STUDY} SELECT count(*) AS rows, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in STATUSES) + ", count(DISTINCT event_id) AS events, count(DISTINCT security_id) AS securities, count(DISTINCT issuer_id) AS issuers FROM st")
@@ -137,18 +154,26 @@ def q41_survivorship(spark: SparkSession, d: str) -> DataFrame:
     return study(spark, d).agg(F.count("*").alias("rows"), *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES), F.count_distinct("event_id").alias("events"), F.count_distinct("security_id").alias("securities"), F.count_distinct("issuer_id").alias("issuers"))
 
 
-@register("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected")
+@register(f"""{STUDY}, a AS (SELECT horizon, status, count(*) AS n FROM st WHERE event_id % 97 <> 0 AND status <> 'terminal_delisted' GROUP BY ALL), b AS (SELECT horizon, status, count(*) AS n FROM st WHERE status <> 'rejected' GROUP BY ALL)
+SELECT coalesce(a.horizon, b.horizon) AS horizon, coalesce(a.status, b.status) AS status, CASE WHEN a.n IS NULL THEN 'missing' WHEN b.n IS NULL THEN 'unexpected' ELSE 'changed' END AS problem FROM a FULL JOIN b ON a.horizon = b.horizon AND a.status = b.status WHERE a.n IS DISTINCT FROM b.n""")
 def q42_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    rows = study(spark, d)
-    stored = reports.histogram(rows, "horizon", "status", STATUSES).filter("n > 0")
-    again = rows.groupBy("horizon", "status").agg(F.count("*").alias("n"))
-    left, right = lineage.differences(stored.select("horizon", "status", "n"), again)
-    return left.agg(F.count("*").alias("missing")).crossJoin(right.agg(F.count("*").alias("unexpected")))
+    """A report that was stored without some events and one status, against the same report made anew without another status."""
+    rows = study(spark, d).select("event_id", "horizon", "status")
+    old = rows.filter("event_id % 97 <> 0 AND status <> 'terminal_delisted'").groupBy("horizon", "status").agg(F.count("*").alias("n"))
+    again = rows.filter("status <> 'rejected'").groupBy("horizon", "status").agg(F.count("*").alias("n"))
+    return control.verified_result(old, again, ["horizon", "status"])
 
 
-@register(f"WITH {BAR} SELECT security_id, count(*) FILTER (WHERE open <= 0) AS not_positive, count(*) FILTER (WHERE open > close) AS disordered, count(*) AS bars FROM bar GROUP BY 1")
+@register("""WITH b AS (SELECT s_nationkey AS security_id, CAST(l_shipdate AS DATE) AS d, arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS o, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS c, max(l_extendedprice) AS h, min(l_extendedprice) AS l FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+x AS (SELECT security_id, o, c, CASE WHEN day(d) % 7 = 0 THEN l ELSE h END AS h, CASE WHEN day(d) % 7 = 0 THEN h ELSE l END AS l FROM b) SELECT security_id, count(*) FILTER (WHERE least(o, h, l, c) > 0 AND h = greatest(o, h, l, c) AND l = least(o, h, l, c)) AS sane, count(*) AS bars FROM x GROUP BY 1""")
 def q44_bar_sanity(spark: SparkSession, d: str) -> DataFrame:
-    return daily_bars(spark, d).groupBy("security_id").agg(F.count_if(F.col("open") <= 0).alias("not_positive"), F.count_if(F.col("open") > F.col("close")).alias("disordered"), F.count("*").alias("bars"))
+    """Bars by the constraint on them; high and low are the wrong way round on some days."""
+    order, price = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), F.col("l_extendedprice")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    bars = lines.groupBy(F.col("s_nationkey").alias("security_id"), F.col("l_shipdate").cast("date").alias("d")).agg(F.min_by(price, order).alias("o"), F.max_by(price, order).alias("c"), F.max(price).alias("h"), F.min(price).alias("l"))
+    turned = F.day("d") % 7 == 0
+    high, low = F.when(turned, F.col("l")).otherwise(F.col("h")), F.when(turned, F.col("h")).otherwise(F.col("l"))
+    return bars.groupBy("security_id").agg(F.count_if(checks.bar_sane(F.col("o"), high, low, F.col("c"))).alias("sane"), F.count("*").alias("bars"))
 
 
 @register(f"WITH {CAL}, {NEXT}, {EV}, {BAR}, {study_sql((60,))}, {study_sql((60,), 1, 'lg')} SELECT st.status AS status, lg.status AS lagged, count(*) AS n FROM st JOIN lg USING (event_id) GROUP BY 1, 2")
@@ -158,11 +183,8 @@ def q46_lag_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return now.join(later, "event_id").groupBy("status", "lagged").agg(F.count("*").alias("n"))
 
 
-@register(f"""{STUDY60}, e AS (SELECT (entry_ord - 1) // 180 AS episode, {_ARM} AS arm, issuer_id, status FROM st WHERE entry_ord IS NOT NULL AND (entry_ord - 1) % 180 < 60 AND {_ARM} IS NOT NULL)
-SELECT CAST(episode AS INTEGER) AS episode, arm, count(*) FILTER (WHERE status = 'complete') AS complete, count(DISTINCT CASE WHEN status = 'complete' THEN issuer_id END) AS issuers, count(*) FILTER (WHERE status = 'complete') >= 20 AND count(DISTINCT CASE WHEN status = 'complete' THEN issuer_id END) >= 10 AS usable FROM e GROUP BY 1, 2""")
+@register(f"""{STUDY60}, e AS (SELECT (entry_ord - 1) // 180 AS episode, {_ARM} AS arm, issuer_id, status, excess_ppm FROM st WHERE entry_ord IS NOT NULL AND (entry_ord - 1) % 180 < 60 AND {_ARM} IS NOT NULL),
+g AS (SELECT episode, arm, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status NOT IN ('excluded', 'rejected')) AS actionable, count(DISTINCT CASE WHEN status = 'complete' THEN issuer_id END) AS issuers, CAST(coalesce(sum(excess_ppm) FILTER (WHERE status = 'complete'), 0) AS BIGINT) AS total FROM e GROUP BY 1, 2)
+SELECT CAST(episode AS INTEGER) AS episode, arm, complete, actionable, issuers, total, complete >= 20 AND issuers >= 10 AND complete * 10 >= actionable * 9 AS usable FROM g""")
 def q47_episode_veto(spark: SparkSession, d: str) -> DataFrame:
-    at = F.col("entry_ord") - 1
-    rows = arms(study(spark, d, (60,))).filter(at.isNotNull() & (at % 180 < 60)).withColumn("episode", F.floor(at / 180).cast("int"))
-    done = F.col("status") == "complete"
-    grouped = rows.groupBy("episode", "arm").agg(F.count_if(done).alias("complete"), F.count_distinct(F.when(done, F.col("issuer_id"))).alias("issuers"))
-    return grouped.withColumn("usable", (F.col("complete") >= 20) & (F.col("issuers") >= 10))
+    return inference.episodes(arms(study(spark, d, (60,))), "excess_ppm")

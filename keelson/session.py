@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that they need no installed copy of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="keelson-"), "keelson"), "zip", os.path.dirname(here), os.path.basename(here))
+        context.addPyFile(made)
+
 
 def session(master: str | None = None, app: str = "keelson", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-class ConflictError(ValueError):
-    """One id with two payloads."""
+from ..functions import parse
+from ..records import DATASETS, VERSION, violations
+from . import files
+from .files import ConflictError, canonical_json
 
 
 def classify(existing: DataFrame, incoming: DataFrame, key: str, payload: Column) -> DataFrame:
@@ -80,24 +80,6 @@ def manifest_cover(manifests: DataFrame, observations: DataFrame, keys: list[str
     return observations.join(m, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys], "left").withColumn("covered", F.col("there").isNotNull()).drop("there", *(f"m_{k}" for k in keys))
 
 
-def canonical_json(value: object) -> bytes:
-    return (json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False, ensure_ascii=False) + "\n").encode()
-
-
-def write_once(path: str, content: bytes) -> bool:
-    """Creates a small local control file; the same bytes again are no change, others raise."""
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            if f.read() != content:
-                raise ConflictError(f"{path} has other content")
-        return False
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with tempfile.NamedTemporaryFile(dir=os.path.dirname(path) or ".", delete=False) as f:
-        f.write(content)
-    os.replace(f.name, path)
-    return True
-
-
 def freeze(datasets: dict[str, DataFrame], target: str, namespace: uuid.UUID = uuid.NAMESPACE_OID) -> dict:
     """Writes datasets and a manifest with their row counts and content sums; its id follows from the manifest."""
     entries = []
@@ -106,7 +88,8 @@ def freeze(datasets: dict[str, DataFrame], target: str, namespace: uuid.UUID = u
         entries.append(fingerprint(df.sparkSession, f"{target}/{name}", name))
     body = {"entries": entries, "snapshot_id": str(uuid.UUID(int=0))}
     body["snapshot_id"] = str(uuid.uuid5(namespace, canonical_json(body).decode()))
-    write_once(f"{target}/manifest.json", canonical_json(body))
+    spark = next(iter(datasets.values())).sparkSession
+    files.write_once(spark, f"{target}/manifest.json", canonical_json(body))
     return body
 
 
@@ -118,9 +101,130 @@ def fingerprint(spark: SparkSession, path: str, name: str) -> dict:
 
 def verify(spark: SparkSession, target: str, namespace: uuid.UUID = uuid.NAMESPACE_OID) -> bool:
     """Whether a frozen snapshot still has the id and the content that its manifest states."""
-    with open(f"{target}/manifest.json", "rb") as f:
-        body = json.load(f)
+    body = json.loads(files.read(spark, f"{target}/manifest.json") or b"{}")
+    if not body:
+        return False
     stated = body["snapshot_id"]
     body["snapshot_id"] = str(uuid.UUID(int=0))
     same = stated == str(uuid.uuid5(namespace, canonical_json(body).decode()))
     return same and all(fingerprint(spark, f"{target}/{e['name']}", e["name"]) == e for e in body["entries"])
+
+
+CAPTURE = "capture_id string, provider_namespace string, source_family string, content_sha256 string, length long, retrieved_at string, adapter_version string, parser_version string, retention_class string, license_name string, parameters string"
+
+
+def capture(spark: SparkSession, root: str, content: bytes, **facts: str | None) -> dict:
+    """Stores bytes once under their hash and adds a manifest, whose id follows from what it says; the manifest.
+
+    The same bytes at another time are one object and two manifests. An object whose bytes are not those
+    of its name raises, and so do facts with a credential's name.
+    """
+    digest = files.sha256(content)
+    path = f"{root}/raw/objects/{digest[:2]}/{digest}"
+    files.write_once(spark, path, content)
+    if files.sha256(files.read(spark, path)) != digest:
+        raise ConflictError(f"{path} is not what its name says")
+    body = {c.split()[0]: None for c in CAPTURE.split(", ")} | {"content_sha256": digest, "length": len(content)} | facts
+    if set(body) != {c.split()[0] for c in CAPTURE.split(", ")} or parse.names_secret(json.loads(body["parameters"] or "{}")):
+        raise ValueError("unknown facts, or one that names a credential")
+    body["capture_id"] = str(uuid.uuid5(uuid.NAMESPACE_OID, canonical_json(body).decode()))
+    files.write_once(spark, f"{root}/raw/manifests/{body['capture_id']}.json", canonical_json(body))
+    return body
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """The manifests below a root; one whose facts name a credential has ``secret``."""
+    if not files.listed(spark, f"{root}/raw/manifests"):
+        return spark.createDataFrame([], f"{CAPTURE}, secret boolean")
+    return spark.read.schema(CAPTURE).json(f"{root}/raw/manifests").withColumn("secret", parse.has_secret_key(F.col("parameters")))
+
+
+#: What the footer contract of a stored dataset states.
+CONTRACT = ("format", "format_version", "dataset", "key", "schema_version", "codec", "schema")
+
+
+class TypedStore:
+    """Datasets of canonical records under one root, each with a contract beside it that every reader checks."""
+
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False) -> None:
+        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/curated/{DATASETS[name].name}"
+
+    def contract(self, name: str) -> dict:
+        d = DATASETS[name]
+        values = ("typed-parquet", "1", d.name, d.key, VERSION, "zstd", files.sha256(d.schema.json().encode()))
+        return dict(zip(CONTRACT, values))
+
+    def persist(self, name: str, records: DataFrame) -> bool:
+        """Checks the records' constraints and upserts them; True if anything changed."""
+        if self.read_only:
+            raise PermissionError(f"{self.root} is read only")
+        d = DATASETS[name]
+        records = records.withColumn("schema_version", F.lit(VERSION)) if "schema_version" not in records.columns else records
+        records = records.to(d.schema)
+        bad = violations(records, name).take(3)
+        if bad:
+            raise ValueError(f"{name}: " + "; ".join(f"{r[0]}: {', '.join(r['broken'])}" for r in bad))
+        files.write_once(self.spark, f"{self.root}/contracts/{d.name}.json", canonical_json(self.contract(name)))
+        return upsert(self.spark, self.path(name), records, d.key, F.xxhash64(F.to_json(F.struct(*(f for f in d.schema.fieldNames() if f != d.key)))))
+
+    def load(self, name: str) -> DataFrame:
+        """The records; none without the dataset. Another contract than the one expected raises."""
+        d = DATASETS[name]
+        stated = files.read(self.spark, f"{self.root}/contracts/{d.name}.json")
+        if stated is None:
+            return self.spark.createDataFrame([], d.schema)
+        if json.loads(stated) != self.contract(name):
+            differ = [k for k, v in self.contract(name).items() if json.loads(stated).get(k) != v]
+            raise ConflictError(f"{name}: contract differs in {', '.join(differ)}")
+        return self.spark.read.schema(d.schema).parquet(self.path(name))
+
+    def counts(self) -> DataFrame:
+        """(dataset, records) of every dataset, zero without one."""
+        parts = [self.load(n).agg(F.lit(n).alias("dataset"), F.count("*").alias("records")) for n in DATASETS]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
+        return out
+
+    def inventory(self) -> DataFrame:
+        """(dataset, record_id, payload_sha256) of every record of every dataset."""
+        parts = [self.load(n).select(F.lit(n).alias("dataset"), F.col(d.key).alias("record_id"), F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256).alias("payload_sha256")) for n, d in DATASETS.items()]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
+        return out
+
+    def views(self) -> list[str]:
+        """One temporary view for each dataset, by sorted name, rebuilt from what is stored."""
+        for name in sorted(DATASETS):
+            self.load(name).createOrReplaceTempView(name)
+        return sorted(DATASETS)
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What a study is frozen from: all datasets, staging rows by name, and its control documents."""
+
+    datasets: dict[str, DataFrame]
+    staging: dict[str, DataFrame]
+    documents: dict[str, dict]
+    inventory: DataFrame
+
+
+#: The control documents of a prepared study.
+DOCUMENTS = ("config", "protocol", "controls", "prices", "origins")
+
+
+def read_inputs(spark: SparkSession, root: str) -> Inputs:
+    """Reads a prepared study; a missing control document raises, a missing dataset is empty."""
+    store = TypedStore(spark, root, read_only=True)
+    held = {n: files.read(spark, f"{root}/{n}.json") for n in DOCUMENTS}
+    lacking = [n for n, body in held.items() if body is None]
+    if lacking:
+        raise FileNotFoundError(", ".join(lacking))
+    names = sorted({p.split("/")[0] for p in files.listed(spark, f"{root}/staging")})
+    staging = {n: spark.read.parquet(f"{root}/staging/{n}") for n in names}
+    return Inputs({n: store.load(n) for n in DATASETS}, staging, {n: json.loads(b) for n, b in held.items()}, store.inventory())
