@@ -5,36 +5,48 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import re
 import tempfile
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: The columns of ``documents``, in order.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share; a folder of our own only where none is set and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rsplit("/", 1)[0]
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, without their lineage: they survive the loss of an executor."""
     shared_dir(df.sparkSession)
@@ -42,11 +54,21 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before more are written."""
-    for _ in range(2):
+    """Has Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before more are written.
+
+    Collects until the number of shuffles that the driver knows falls no further: plans stay referenced for
+    a while after they ran, by events that are still to be handled.
+    """
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    last, same = known.size(), 0
+    for _ in range(10):
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.5)
+        now = known.size()
+        last, same = now, same + 1 if now == last else 0
+        if same == 3:
+            break
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -68,6 +90,16 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows with ``place``, from 0 in an order without ties: ranked within ranges, each range after those before it."""
+    dealt = kept(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in dealt.groupBy("part").agg(F.count("*")).collect())
+    before = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    start = F.create_map(*(F.lit(x) for pair in zip([p for p, _ in sizes] or [0], before) for x in pair))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("place", F.element_at(start, F.col("part")) + rank).drop("part")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the named columns and the text, where a null text is an empty one."""
     return docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents, kept
+from .common import DOCUMENT_COLUMNS, documents, kept, numbered
 
 #: Documents to a chunk of a source in the flight phase.
 CHUNK = 4096
@@ -34,21 +34,23 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, limit: float) -> dict[str | None, float]:
-    """Words to take from each source: by weight, at most ``limit`` times its size, the excess reshared."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    total = share * sum(size.values())
-    full: dict[str | None, float] = {}
-    while True:
-        rest = [s for s in size if s not in full]
-        left, across = total - sum(full.values()), sum(weight[s] for s in rest)
-        got = {s: left * weight[s] / across for s in rest}
-        over = {s: limit * size[s] for s in rest if got[s] > limit * size[s]}
-        if not over:
-            return full | got
-        full |= over
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
+    """``sources`` (source, source_size, units) with ``target``: words by weight, at most ``limit`` times the size, the excess reshared.
+
+    A source stops where its weight at the common level reaches its limit; the level rises until what is
+    left and the weights that share it agree. Sources stay a table, however many there are.
+    """
+    ranked = numbered(sources, F.col("source").asc_nulls_last())
+    weighted = kept(ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))))
+    size, weight = weighted.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, level = share * (size or 0), 0.0
+    rises = total / weight if weight else 0.0
+    while rises > level:
+        level = rises
+        stopped = limit * F.col("source_size") < F.col("weight") * level
+        full, rest = weighted.agg(F.coalesce(F.sum(F.when(stopped, F.col("source_size"))), F.lit(0)), F.sum(F.when(~stopped, F.col("weight")))).first()
+        rises = (total - limit * full) / rest if rest else level
+    return weighted.select("source", "source_size", "units", F.least(limit * F.col("source_size"), F.col("weight") * level).alias("target"))
 
 
 def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -99,8 +101,8 @@ def landing(size: np.ndarray, p: np.ndarray, expected: float) -> np.ndarray:
     return out
 
 
-def flown(units: DataFrame, chunks: int, last: bool) -> DataFrame:
-    """``units`` with p moved, by source and chunk."""
+def flown(units: DataFrame, last: bool) -> DataFrame:
+    """``units`` with p moved, by source and chunk; ``chunks`` says how many chunks a source has."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["bulk", "lot"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
@@ -111,29 +113,27 @@ def flown(units: DataFrame, chunks: int, last: bool) -> DataFrame:
         group["p"] = landing(size, p, float(np.dot(size, before))) if last else p
         return group.drop(columns="chunk")
 
-    chunked = units.withColumn("chunk", F.pmod("lot", F.lit(chunks)))
+    chunked = units.withColumn("chunk", F.pmod("lot", "chunks"))
     return chunked.groupBy("source", "chunk").applyInPandas(run, units.schema)
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, chunk: int = CHUNK) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken, a row for each row of ``docs``."""
-    spark = docs.sparkSession
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
     units = kept(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
-    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units")).collect()
-    goal = targets([(r["source"], r["source_size"]) for r in sources], weights, share, limit) if sources else {}
-    dimension = spark.createDataFrame([(r["source"], r["source_size"], float(goal[r["source"]])) for r in sources], "source string, source_size long, target double")
+    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
+    goal = kept(targets(sources, weights, share, limit).withColumn("chunks", F.ceil(F.col("units") / chunk)))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = units.join(dimension, units.source.eqNullSafe(dimension.source)).drop(dimension.source)
-    drawn = drawn.select("doc_id", "source", "size", "n", "source_size", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"), (F.col("size") * F.col("n")).alias("bulk"), F.xxhash64("doc_id", "source", "size").alias("lot"))
-    chunks = max((math.ceil(r["units"] / chunk) for r in sources), default=1)
+    drawn = units.join(goal.withColumnRenamed("source", "its_source"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    drawn = drawn.select("doc_id", "source", "size", "n", "source_size", "target", "chunks", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"), (F.col("size") * F.col("n")).alias("bulk"), F.xxhash64("doc_id", "source", "size").alias("lot"))
+    chunks = goal.agg(F.max("chunks")).first()[0] or 1
     decided = []
     while chunks > 1:
-        drawn = kept(flown(drawn, chunks, False))
+        drawn = kept(flown(drawn, False))
         decided.append(drawn.filter("p <= 0 or p >= 1"))
-        drawn = drawn.filter("p > 0 and p < 1")
-        chunks = math.ceil(chunks * 2 / chunk) if chunks * 2 > chunk else 1
-    done = flown(drawn, 1, True)
+        drawn = drawn.filter("p > 0 and p < 1").withColumn("chunks", F.ceil(F.col("chunks") * 2 / chunk))
+        chunks = math.ceil(chunks * 2 / chunk)
+    done = flown(drawn.withColumn("chunks", F.lit(1).cast("long")), True)
     for part in decided:
         done = done.unionByName(part)
     copies = (F.col("whole") + F.col("p").cast("long")).cast("long")
@@ -146,7 +146,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, rows and columns as they are.
+
+    A document without words, null and empty texts included, is drawn by the number of documents alone; rows
+    that agree in doc_id, source and size share one decision; the null source is a source of its own; an
+    empty table gives none; columns beside those of documents go.
+    """
     found = mixed(docs).select(F.col("doc_id").alias("its_id"), F.col("source").alias("its_source"), F.col("size").alias("its_size"), "copies").filter("copies > 0")
     sized = docs.select(*DOCUMENT_COLUMNS, size_of(F.col("text")).alias("size"))
     both = sized.join(found, sized.doc_id.eqNullSafe(found.its_id) & sized.source.eqNullSafe(found.its_source) & (sized["size"] == found.its_size))

@@ -253,5 +253,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: a row for each document that came so far, with its ids' and decoded text's digests."""
+    """The last stage: a row for each document that came so far, with its ids' and decoded text's digests.
+
+    A null or empty text has the begin and end ids alone; rows that repeat are each reported; a null doc_id
+    keeps its row; an empty table gives none.
+    """
     return digests(docs)

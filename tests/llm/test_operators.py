@@ -135,7 +135,8 @@ def test_merged_transforms(alphabet, monkeypatch):
         windows = np.array([len(s) - length + 1 for s in snippets])
         windows[0] //= 2
         windows = np.maximum(windows, 1)
-        got = suffixes.repeated_windows(snippets, windows, docs, length)
+        flags, starts = suffixes.repeated_windows(snippets, windows, docs, length)
+        got = [flags[a : a + w] for a, w in zip(starts, windows)]
         least = {}
         for s, w, d in zip(snippets, windows, docs):
             for q in range(w):
@@ -292,7 +293,8 @@ def test_mixing(spark, edge):
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in TEXTS)
     assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
     assert {r["doc_id"]: r["size"] for r in got if r["doc_id"]} == {i: len(t.encode().split()) for i, t in texts() if i}
-    assert mixing.targets([("b", 10), (None, 100), ("a", 1000)], (5, 2, 1), 1.5, 2.0) == {"a": pytest.approx(1445), "b": 20, None: pytest.approx(200)}
+    sources = spark.createDataFrame([("b", 10, 1), (None, 100, 1), ("a", 1000, 1)], "source string, source_size long, units long")
+    assert {r["source"]: r["target"] for r in mixing.targets(sources, (5, 2, 1), 1.5, 2.0).collect()} == {"a": pytest.approx(1445), "b": 20, None: pytest.approx(200)}
     docs = spark.createDataFrame([(i, "w " * (i % 37), f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
     first = rows(mixing.mixed(docs, chunk=100))
     for s in ("s0", "s1", "s2"):
@@ -302,6 +304,29 @@ def test_mixing(spark, edge):
     assert sorted(map(str, rows(mixing.mixed(docs, chunk=100)))) == sorted(map(str, first))
 
 
+def plain_targets(sizes, weights, share, limit):
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full = {}
+    while True:
+        rest = [s for s in sizes if s not in full]
+        left = share * sum(sizes.values()) - sum(full.values())
+        got = {s: left * weight[s] / sum(weight[r] for r in rest) for s in rest}
+        over = {s: limit * sizes[s] for s in rest if got[s] > limit * sizes[s]}
+        if not over:
+            return full | got
+        full |= over
+
+
+def test_targets_against_a_plain_version(spark):
+    rng = random.Random(10)
+    for n in (1, 4, 40):
+        sizes = {f"s{i}é"[: rng.randint(2, 5)] + str(i): int(10 ** rng.uniform(0, 5)) for i in range(n)} | ({None: 77} if n > 1 else {})
+        sources = spark.createDataFrame([(s, z, 1) for s, z in sizes.items()], "source string, source_size long, units long")
+        got = {r["source"]: r["target"] for r in mixing.targets(sources, (5, 2, 1), 1.5, 2.0).collect()}
+        assert got == {s: pytest.approx(t) for s, t in plain_targets(sizes, (5, 2, 1), 1.5, 2.0).items()}
+
+
 def test_flight_keeps_its_totals():
     rng = np.random.default_rng(4)
     size, p = rng.integers(1, 500, 400), np.full(400, 0.37)
