@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import Forest, by_key, components, kept, lean, parts_for, runs
 
 #: Vectors to a tile.
@@ -152,9 +153,9 @@ def tile_links(distinct: DataFrame, dimension: int, threshold: float, tile: int)
                 ids = rep[s:e]
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], ids[far]]), pa.array(np.r_[np.zeros(len(some), np.int64), ids[forest.parent[far]]], mask=np.r_[np.ones(len(some), bool), np.zeros(len(far), bool)]), pa.array(np.r_[count[some].astype(np.int64), np.zeros(len(far), np.int64)])], names=["a", "b", "links"])
 
-    rows = kept(pair)
-    parts = parts_for(spark, rows.count() * dimension * 4, 16 << 20)
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(compare), "a long, b long, links long")
+    copies = own.select(F.aggregate("around", F.lit(0), lambda n, o: n + o["there"]).alias("n")).agg(F.sum("n")).first()[0] or 0
+    parts = parts_for(spark, copies * dimension * 4, 16 << 20)
+    return pair.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(compare), "a long, b long, links long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
@@ -181,6 +182,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
