@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage is written as Parquet and reread as the next one's documents."""
+"""A corpus pipeline: each stage is written as Parquet and reread as the next one's documents.
+
+Stages take null ids, texts and sources, empty and long texts, repeated rows, ties, empty tables and extra
+columns as their own docstrings say. A stage's folder goes when the next stage has been written from it;
+the last one's, which the result reads, stays.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from keelson.llm import mixing, pieces, simhash, suffixes, toxicity
-from keelson.llm.common import documents, shared_dir
+from keelson.llm.common import documents, remove, shared_dir
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -22,9 +27,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
