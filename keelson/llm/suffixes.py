@@ -8,7 +8,8 @@ to shards; each shard's suffixes are sorted and give its transform. The transfor
 interleave refinement (Holt and McMillan): the interleave of the shards by k symbols follows from that by
 k - 1 symbols and the transforms alone, and so do the blocks of suffixes with a common prefix of k
 symbols. After ``length`` rounds a block is a repeated interval; a window of it is removed from each
-document with a larger doc_id than the smallest in the block.
+document with a larger doc_id than the smallest in the block. Snippets none of whose windows has a hash
+that another document's has stay out of the merge: nothing of theirs can repeat.
 
 What a task can decide by itself it does not send: texts that share a minimiser within the task, and
 snippets that are equal to one of a smaller document. So a passage of very many documents costs each task
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,26 +50,29 @@ PACKED = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("h", pa.int64()), (
 ANY = 65535
 
 
-def window_minimisers(text: np.ndarray, length: int) -> np.ndarray:
-    """The minimiser of each window of ``length`` bytes; none for a shorter text."""
-    if len(text) < length:
-        return np.zeros(0, np.uint64)
+def string_hashes(text: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of ``length`` bytes, from those of spans that double."""
     span, value, held = 1, _BYTE[text], {}
     factor = np.full(1, 0x9E3779B97F4A7C15, np.uint64)
-    while span <= GRAM:
+    while span <= length:
         held[span] = value
-        if 2 * span <= GRAM:
+        if 2 * span <= length:
             value = value[:-span] * factor + value[span:]
         factor = factor * factor
         span *= 2
-    parts = [b for b in sorted(held, reverse=True) if GRAM & b]
-    gram, at = None, 0
-    n = len(text) - GRAM + 1
-    for b in parts:
+    whole, at, n = None, 0, len(text) - length + 1
+    for b in sorted((b for b in held if length & b), reverse=True):
         part = held[b][at : at + n]
-        gram = part.copy() if gram is None else gram * np.uint64(0xD6E8FEB86659FD93) + part
+        whole = part.copy() if whole is None else whole * np.uint64(0xD6E8FEB86659FD93) + part
         at += b
-    low = mix64(gram)
+    return mix64(whole)
+
+
+def window_minimisers(text: np.ndarray, length: int) -> np.ndarray:
+    """The minimiser of each window of ``length`` bytes; none for a shorter text."""
+    if len(text) < length:
+        return np.zeros(0, np.uint64)
+    low = string_hashes(text, GRAM)
     width, span = length - GRAM + 1, 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -139,8 +144,8 @@ def merged_blocks(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -
     return place, new
 
 
-def repeated_windows(snippets: list[bytes], windows: np.ndarray, docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each snippet, which of its windows also start in a snippet of a smaller document."""
+def repeated_windows(snippets: list[bytes], windows: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows also start in a snippet of a smaller document, one flag for each byte of the snippets and of the mark behind each; and where each snippet starts."""
     size = np.array([len(s) + 1 for s in snippets])
     ends = np.cumsum(size)
     cut = np.flatnonzero(np.r_[True, (ends[1:] - 1) // SHARD != (ends[:-1] - 1) // SHARD])
@@ -162,7 +167,24 @@ def repeated_windows(snippets: list[bytes], windows: np.ndarray, docs: np.ndarra
     least = np.repeat(np.minimum.reduceat(owner, block), np.diff(np.r_[block, len(place)]))
     removed = np.zeros(int(ends[-1]), bool)
     removed[at[counts & (least < docs[which])]] = True
-    return [removed[s : s + w] for s, w in zip(starts.tolist(), windows.tolist())]
+    return removed, starts
+
+
+def may_repeat(snippets: list[bytes], windows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """Which snippets have a window whose hash a snippet of another document has too: without one, no window of theirs repeats."""
+    size = np.array([len(s) for s in snippets])
+    starts = np.cumsum(size) - size
+    h = string_hashes(np.frombuffer(b"".join(snippets), np.uint8), length)
+    which = np.repeat(np.arange(len(snippets)), windows)
+    h = h[np.arange(len(which)) + np.repeat(starts - (np.cumsum(windows) - windows), windows)]
+    order = np.argsort(h)
+    which, h = which[order], h[order]
+    d = docs[which]
+    begin, end = runs(h)
+    several = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
+    out = np.zeros(len(snippets), bool)
+    out[which[np.repeat(several, end - begin)]] = True
+    return out
 
 
 def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +253,7 @@ def shared_minimisers(rows: DataFrame, length: int, amount: int) -> DataFrame:
                 hashes.append(found)
                 owners.append(t)
                 held += len(found)
-                if held > 1_000_000 or len(owners) == most:
+                if held > 3_000_000 or len(owners) == most:
                     yield from flush()
                     hashes, owners, held = [], [], 0
         if hashes:
@@ -318,6 +340,69 @@ class Snippets:
         return [(t, *united(spans)) for t, spans in self.removed.items()]
 
 
+def spread(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of lists, and how many each has."""
+    lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
+
+
+def decided(table: pa.Table, length: int) -> pa.RecordBatch:
+    """The intervals to remove that whole groups of one minimiser give: of equal snippets, of repeated windows, and those that tasks found before."""
+    before = table["content"].is_null()
+    done, table = table.filter(before), table.filter(pa.compute.invert(before))
+    a, many = spread(done["a"])
+    spans = [(np.repeat(spread(done["t"])[0], many), a, spread(done["b"])[0])]
+    h, d = table["h"].to_numpy(), table["d"].to_numpy()
+    code = table["content"].combine_chunks().dictionary_encode()
+    size = pa.compute.binary_length(code.dictionary).to_numpy()
+    code = code.indices.to_numpy()
+    order = np.lexsort((d, code, h))
+    h, d, code = h[order], d[order], code[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])]) if len(h) else np.zeros(0, int)
+    item = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+    table = table.take(pa.array(order))
+    t, many = spread(table["t"])
+    at = spread(table["a"])[0]
+    item, gone = np.repeat(item, many), np.repeat(d > d[first][item], many)
+    width = size[code[first]]
+    spans.append((t[gone], at[gone], at[gone] + width[item[gone]]))
+    begin, end = runs(h[first])
+    some = np.flatnonzero(np.repeat(end - begin, end - begin) > 1)
+    if len(some):
+        some = some[may_repeat(table["content"].take(pa.array(first[some])).to_pylist(), width[some] - length + 1, d[first][some], length)]
+    if len(some):
+        content = table["content"].take(pa.array(first[some])).to_pylist()
+        windows, docs = width[some] - length + 1, d[first][some]
+        removed, starts = repeated_windows(content, windows, docs, length)
+        x, y = true_runs(removed)
+        which = np.searchsorted(starts, x, side="right") - 1
+        x, y = x - starts[which], y - starts[which] + length - 1
+        place = np.full(len(first), -1)
+        place[some] = np.arange(len(some))
+        mine = np.flatnonzero(~gone & (place[item] >= 0))
+        mine = mine[np.argsort(place[item[mine]], kind="stable")]
+        begin, end = (np.searchsorted(place[item[mine]], which, side=s) for s in ("left", "right"))
+        times = end - begin
+        each = mine[np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        spans.append((t[each], at[each] + np.repeat(x, times), at[each] + np.repeat(y, times)))
+    return united_spans(*(np.concatenate(c) for c in zip(*spans)))
+
+
+def united_spans(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """(t, a, b): the maximal runs that spans cover, in a row for each text."""
+    order = np.lexsort((a, t))
+    t, a, b = t[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    if len(t):
+        shift = np.cumsum(np.r_[0, t[1:] != t[:-1]]) << 33
+        reach = np.maximum.accumulate(b + shift)
+        begin = np.flatnonzero(np.r_[True, (a + shift)[1:] > reach[:-1]])
+        t, a, b = t[begin], a[begin], np.maximum.reduceat(b, begin)
+    starts, _ = runs(t)
+    offsets = pa.array(np.r_[starts, len(t)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(t[starts].astype(np.int64)), *lists], names=["t", "a", "b"])
+
+
 def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
     """(t, a, b): starts and ends of byte intervals to remove, from (t, d, text, hashes)."""
     width = hash_bytes(amount)
@@ -345,43 +430,21 @@ def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
                         content = text[q : min(q + STRETCH, p + n) + length - 1]
                         held.add(g, content, d, [t], [q])
                         size += len(content) + 300
-            if size > 24 << 20:
+            if size > 64 << 20:
                 yield from flush(held)
                 held, size = Snippets(length), 0
         yield from flush(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t", "a", "b"]
-        kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-
-        def work(held: Snippets) -> pa.RecordBatch:
-            several = {}
-            for h, _ in held.found:
-                several[h] = several.get(h, 0) + 1
-            items = [(content, *x) for (h, content), x in held.found.items() if several[h] > 1]
-            if items:
-                flags = repeated_windows([x[0] for x in items], np.array([len(x[0]) - length + 1 for x in items]), np.array([x[1] for x in items]), length)
-                for (_, _, ts, at), removed in zip(items, flags):
-                    for a, b in zip(*(x.tolist() for x in true_runs(removed))):
-                        for t, p in zip(ts, at):
-                            held.removed.setdefault(t, []).append((p + a, p + b + length - 1))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*held.removals())) or ([], [], []), kinds)], names=names)
-
-        held, size = Snippets(length), 0
+        held, size = [], 0
         for table in by_key(batches, "h", 4096):
-            own = table["content"].is_null().to_numpy()
-            if own.any():
-                done = table.filter(pa.array(own))
-                for t, a, b in zip(done["t"].to_pylist(), done["a"].to_pylist(), done["b"].to_pylist()):
-                    held.removed.setdefault(t[0], []).extend(zip(a, b))
-                table = table.filter(pa.array(~own))
-            for h, d, t, a, content in zip(*(table[c].to_pylist() for c in ("h", "d", "t", "a", "content"))):
-                held.add(h, content, d, t, a)
-                size += len(content)
-            if size > MERGED or len(held.removed) > 50_000:
-                yield work(held)
-                held, size = Snippets(length), 0
-        yield work(held)
+            held.append(table)
+            size += table["content"].nbytes
+            if size > 2 * MERGED:
+                yield decided(pa.concat_tables(held), length)
+                held, size = [], 0
+        if held:
+            yield decided(pa.concat_tables(held), length)
 
     parts = parts_for(rows.sparkSession, amount, 24 << 20)
     sent = rows.select("t", "d", "text", "hashes").mapInArrow(lean(send), SENT_DDL)
