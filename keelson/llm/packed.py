@@ -29,8 +29,8 @@ from .common import documents, input_bytes, lean, parts_for, shared_dir, texts
 
 MAGIC = b"BITPACK1"
 BLOCK = 4096
-#: Input bytes to a file.
-FILE_BYTES = 12 << 20
+#: Input bytes to a file, so that files and their rows at the driver stay few.
+FILE_BYTES = 128 << 20
 #: Distinct words and pieces in a generation of what a worker remembers.
 REMEMBERED = 700_000
 END_ID = 0
@@ -159,6 +159,7 @@ class Encoder:
         self.plain = regex.compile(PLAIN).fullmatch
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
+        self.space = chr(self.letters[32])
         self.tokenize = self.library.model.tokenize
         self.words: dict[str, bytes] = {}  # after a space
         self.starts: dict[str, bytes] = {}  # pieces without one
@@ -176,7 +177,9 @@ class Encoder:
                 try:
                     coded = b"".join(map(self.words.__getitem__, words))
                 except KeyError:
-                    coded = b"".join(self.words.get(w) or self.word(w) for w in words)
+                    for w in set(words).difference(self.words):
+                        self.word(w)
+                    coded = b"".join(map(self.words.__getitem__, words))
                 out.append(b"".join(map(self.piece, self.cut(first))) + coded)
             if len(self.words) + len(self.starts) > REMEMBERED:
                 self.old, self.words, self.starts = self.words, {}, {}
@@ -185,7 +188,9 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """Ids of a word with a space before it."""
         coded = self.old.get(word)
-        if coded is None:
+        if coded is None and word.isascii() and word.isalpha() and word.islower():  # one piece whatever the pattern says of cases
+            coded = self.ids(self.space + word)
+        elif coded is None:
             pieces = self.cut(f" {word}")
             coded = self.coded(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
         self.words[word] = coded
@@ -200,7 +205,9 @@ class Encoder:
         return coded
 
     def coded(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return self.ids(piece.encode().decode("latin-1").translate(self.letters))
+
+    def ids(self, letters: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
 
@@ -254,26 +261,30 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     return ordered.mapInArrow(lean(run), "file string, n_docs long, n_ids long")
 
 
-def read_tokens(spark: SparkSession, folder: str, sizes: dict[str, int]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 from the files; ``sizes`` are the ids in each file, by name."""
-    names = sorted(sizes)
-    before = dict(zip(names, np.r_[0, np.cumsum([sizes[n] for n in names])].tolist()))
+def read_tokens(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 from the files; ``written`` has (file, n_ids), a row for each file.
+
+    A task opens its files and reads them range by range, so that none is held whole.
+    """
+    sizes = sorted((r["file"], r["n_ids"]) for r in written.collect())
+    before = np.r_[0, np.cumsum([n for _, n in sizes])].tolist()
+    files = spark.createDataFrame([(name, start) for (name, _), start in zip(sizes, before)], "file string, before long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                raw = content.as_buffer()
-                found = TokenFile(lambda a, n, raw=raw: raw[a : a + n].to_pybytes(), raw.size)
-                for i in range(0, len(found.doc_ids), 2048):
-                    starts = found.starts[i : i + 2049]
-                    ids = found.ids(int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
-                    at = (starts - starts[0]) * 4
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:])]
-                    columns = [pa.array(found.doc_ids[i : i + 2048], mask=found.null[i : i + 2048]), pa.array(starts[:-1] + before[name.rsplit("/", 1)[-1]]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for name, first in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
+                with store.open_input_file(f"{at}/{name}") as source:
+                    found = TokenFile(lambda a, n, source=source: source.read_at(n, a), source.size())
+                    for i in range(0, len(found.doc_ids), 2048):
+                        starts = found.starts[i : i + 2049]
+                        ids = found.ids(int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
+                        to = (starts - starts[0]) * 4
+                        crc = [zlib.crc32(ids[a:b]) for a, b in zip(to[:-1], to[1:])]
+                        columns = [pa.array(found.doc_ids[i : i + 2048], mask=found.null[i : i + 2048]), pa.array(starts[:-1] + first), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
-    return files.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(parts_for(spark, len(sizes), 8)).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,4 +292,4 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     written = write_tokens(documents(spark, sf_dir), folder)
-    return read_tokens(spark, folder, {r["file"]: r["n_ids"] for r in written.collect()})
+    return read_tokens(spark, folder, written.select("file", "n_ids"))
