@@ -253,7 +253,7 @@ def shared_minimisers(rows: DataFrame, length: int, amount: int) -> DataFrame:
                 hashes.append(found)
                 owners.append(t)
                 held += len(found)
-                if held > 3_000_000 or len(owners) == most:
+                if held > 2_000_000 or len(owners) == most:
                     yield from flush()
                     hashes, owners, held = [], [], 0
         if hashes:
@@ -430,7 +430,7 @@ def removed_intervals(rows: DataFrame, length: int, amount: int) -> DataFrame:
                         content = text[q : min(q + STRETCH, p + n) + length - 1]
                         held.add(g, content, d, [t], [q])
                         size += len(content) + 300
-            if size > 64 << 20:
+            if size > 40 << 20:
                 yield from flush(held)
                 held, size = Snippets(length), 0
         yield from flush(held)
