@@ -126,8 +126,9 @@ def column_bytes(column: pa.Array) -> list[bytes]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files that are read, from the optimised plan's statistics: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files that are read, from the optimised plan's statistics, without a job; of the texts themselves where the plan can't say."""
+    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return stated if stated < 1 << 60 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def parts_for(spark: SparkSession, amount: int, each: int) -> int:
