@@ -510,10 +510,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str, length: int = 50) -
     return map_rows(rows, step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-#: The same by every window of 50 bytes as hexadecimal text, for DuckDB.
+#: The same by every window of 50 bytes as hexadecimal text, for DuckDB; texts are cut into parts first, as it reads a text whole for each window.
 OP6_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+p AS (SELECT doc_id, k, n, substr(h, CAST(1024 * k + 1 AS BIGINT), 1122) AS h FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(0, (len(h) // 2 + 462) // 512)) AS k FROM d)),
+w AS (SELECT doc_id, 512 * k + j AS i, substr(h, CAST(2 * j + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, k, h, unnest(range(0, least(512, n - 49 - 512 * k))) AS j FROM p)),
 f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
 x AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE w.doc_id > least),
 b AS (SELECT doc_id, i, coalesce(i > lag(i) OVER o + 50, true) AS first FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
