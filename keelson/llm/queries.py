@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mixing_model, packed, pieces, quality, simhash, suffixes, toxicity, vectors
+from . import filter_audit, funnels, licenses, mixing, mixing_model, packed, packing, pieces, quality, simhash, suffixes, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_binary": packed.op8_token_binary,
         "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
         "op9_sentencepiece": pieces.op9_sentencepiece,
+        "op11_packing": packing.op11_packing,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_ordered_funnels": funnels.op13_ordered_funnels,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.OP3_SQL, "op6_suffix_array_dedup": suffixes.OP6_SQL, "op10_embedding_near_dedup": vectors.OP10_SQL}
+    return {
+        "op3_quality_rules": quality.OP3_SQL,
+        "op6_suffix_array_dedup": suffixes.OP6_SQL,
+        "op10_embedding_near_dedup": vectors.OP10_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_ordered_funnels": funnels.OP13_SQL,
+    }

@@ -13,6 +13,8 @@ def write(spark, folder, rows):
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, 1, int(i == 13)) for i, _ in rows if i] + ([(13, None, None), (99, 1, 1)] if rows else [])
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    clicks = [(i, f"2024-01-0{1 + i % 3} 10:{i % 60:02}:0{i % 7}", i % 5, ["view", "click", "purchase", "error", None][i % 5]) for i in range(200)] if rows else []
+    spark.createDataFrame(clicks, "click_id long, ts string, client_id long, kind string").selectExpr("click_id", "CAST(ts AS timestamp_ntz) AS ts", "client_id", "kind").write.parquet(f"{folder}/clicks.parquet")
     return str(folder)
 
 
