@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import require
+from ..session import shared_folder
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -41,11 +39,7 @@ def ancestors(spark: SparkSession, edges: DataFrame, depth: int = 128) -> DataFr
 
 def stored(rows: DataFrame) -> DataFrame:
     """The rows without their lineage, in the folder that the session's checkpoints go to."""
-    context = rows.sparkSession.sparkContext
-    if rows.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
+    shared_folder(rows.sparkSession)
     return rows.checkpoint(eager=True)
 
 

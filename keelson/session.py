@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -23,6 +24,21 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(made)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rsplit("/", 1)[0]
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    made = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
 def session(master: str | None = None, app: str = "keelson", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

@@ -1,4 +1,4 @@
-"""Stored datasets: conflict-checked upserts, first-seen records, content-addressed captures and snapshots."""
+"""What is stored: first-seen records, content-addressed captures, snapshots with digest trees and typed datasets."""
 
 from __future__ import annotations
 
@@ -7,58 +7,16 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..records import DATASETS, VERSION, violations
 from . import files
+from .datasets import check_footers, classify, depth_for, digest_tree, read_dataset, tree_differences, upsert  # noqa: F401
 from .files import ConflictError, canonical_json
 
 
-def classify(existing: DataFrame, incoming: DataFrame, key: str, payload: Column) -> DataFrame:
-    """(key, action): insert, no_op or conflict for each distinct incoming record."""
-    old = existing.select(F.col(key).alias("its_key"), payload.alias("old"))
-    new = incoming.select(key, payload.alias("new")).distinct()
-    alone = F.count("*").over(Window.partitionBy(key)) == 1
-    joined = new.withColumn("alone", alone).join(old, F.col(key) == F.col("its_key"), "left")
-    action = F.when(~F.col("alone"), "conflict").when(F.col("its_key").isNull(), "insert").when(F.col("new") == F.col("old"), "no_op").otherwise("conflict")
-    return joined.select(key, action.alias("action"))
-
-
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, key: str, payload: Column) -> bool:
-    """Adds new records to a Parquet dataset, sorted by key; True if anything was written.
-
-    Equal records are no change; a conflict raises before anything is written. The new version is
-    written beside the old one and takes its place when it is whole. One writer at a time.
-    """
-    fs, here = _fs(spark, path)
-    there = fs.exists(here)
-    existing = spark.read.schema(incoming.schema).parquet(path) if there else incoming.limit(0)
-    actions = {r["action"]: r["count"] for r in classify(existing, incoming, key, payload).groupBy("action").count().collect()}
-    if actions.get("conflict"):
-        raise ConflictError(f"{actions['conflict']} records of {path} conflict")
-    if not actions.get("insert"):
-        return False
-    fresh = incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
-    aside = f"{path}.{uuid.uuid4().hex}"
-    existing.unionByName(fresh).orderBy(key).write.option("compression", "zstd").parquet(aside)
-    old = f"{path}.old.{uuid.uuid4().hex}"
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    if there:
-        fs.rename(here, jvm(old))
-    if not fs.rename(jvm(aside), here):
-        raise OSError(f"could not move {aside} to {path}")
-    if there:
-        fs.delete(jvm(old), True)
-    return True
-
-
-def _fs(spark: SparkSession, path: str):
-    here = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return here.getFileSystem(spark._jsc.hadoopConfiguration()), here
-
-
 def first_seen(rows: DataFrame, key: str, at: str, meaning: list[str]) -> DataFrame:
     """The first record of each key by time, with ``conflict``: records of the key differ in meaning."""
     w = Window.partitionBy(key)
@@ -80,34 +38,61 @@ def manifest_cover(manifests: DataFrame, observations: DataFrame, keys: list[str
     return observations.join(m, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys], "left").withColumn("covered", F.col("there").isNotNull()).drop("there", *(f"m_{k}" for k in keys))
 
 
-def freeze(datasets: dict[str, DataFrame], target: str, namespace: uuid.UUID = uuid.NAMESPACE_OID) -> dict:
-    """Writes datasets and a manifest with their row counts and content sums; its id follows from the manifest."""
+def freeze(datasets: dict[str, DataFrame], target: str, namespace: uuid.UUID = uuid.NAMESPACE_OID, keys: dict[str, list[str]] | None = None) -> dict:
+    """Writes datasets, the digest tree of each, and a manifest with their row counts and root digests; its id follows from the manifest.
+
+    ``keys`` names the columns that place a dataset's rows in its tree; all columns, where it says nothing.
+    """
     entries = []
+    spark = next(iter(datasets.values())).sparkSession
     for name, df in sorted(datasets.items()):
         df.write.mode("errorifexists").parquet(f"{target}/{name}")
-        entries.append(fingerprint(df.sparkSession, f"{target}/{name}", name))
+        own = sorted((keys or {}).get(name, df.columns))
+        depth = depth_for(spark.read.parquet(f"{target}/{name}").count())
+        fingerprint(spark, f"{target}/{name}", own, depth).write.parquet(f"{target}/digests/{name}")
+        entries.append(summary(spark, target, name, own, depth))
     body = {"entries": entries, "snapshot_id": str(uuid.UUID(int=0))}
     body["snapshot_id"] = str(uuid.uuid5(namespace, canonical_json(body).decode()))
-    spark = next(iter(datasets.values())).sparkSession
     files.write_once(spark, f"{target}/manifest.json", canonical_json(body))
     return body
 
 
-def fingerprint(spark: SparkSession, path: str, name: str) -> dict:
-    rows = spark.read.parquet(path)
-    n, total = rows.select(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)").alias("h")).agg(F.count("*"), F.coalesce(F.sum("h"), F.lit(0))).first()
-    return {"name": name, "rows": n, "sum": str(total), "schema": hashlib.sha256(rows.schema.json().encode()).hexdigest()}
+def fingerprint(spark: SparkSession, path: str, keys: list[str], depth: int) -> DataFrame:
+    """The digest tree of what is stored at a path."""
+    return digest_tree(spark.read.parquet(path), keys, depth)
 
 
-def verify(spark: SparkSession, target: str, namespace: uuid.UUID = uuid.NAMESPACE_OID) -> bool:
-    """Whether a frozen snapshot still has the id and the content that its manifest states."""
+def summary(spark: SparkSession, target: str, name: str, keys: list[str], depth: int) -> dict:
+    """What a manifest states of a dataset, by the stored tree."""
+    root = spark.read.parquet(f"{target}/digests/{name}").filter("level = 0").first()
+    schema = hashlib.sha256(spark.read.parquet(f"{target}/{name}").schema.json().encode()).hexdigest()
+    return {"name": name, "rows": root["rows"] if root else 0, "digest": root["digest"] if root else hashlib.sha256(b"").hexdigest(), "depth": depth, "keys": keys, "schema": schema}
+
+
+def stated(spark: SparkSession, target: str, namespace: uuid.UUID = uuid.NAMESPACE_OID) -> dict | None:
+    """A snapshot's manifest, if its id follows from what it says."""
     body = json.loads(files.read(spark, f"{target}/manifest.json") or b"{}")
     if not body:
-        return False
-    stated = body["snapshot_id"]
-    body["snapshot_id"] = str(uuid.UUID(int=0))
-    same = stated == str(uuid.uuid5(namespace, canonical_json(body).decode()))
-    return same and all(fingerprint(spark, f"{target}/{e['name']}", e["name"]) == e for e in body["entries"])
+        return None
+    own, body["snapshot_id"] = body["snapshot_id"], str(uuid.UUID(int=0))
+    return body | {"snapshot_id": own} if own == str(uuid.uuid5(namespace, canonical_json(body).decode())) else None
+
+
+def differences(spark: SparkSession, target: str) -> DataFrame:
+    """(dataset, level, prefix, stated_rows, found_rows): where a snapshot's content is no longer that of its digest trees."""
+    out = None
+    for e in (stated(spark, target) or {"entries": []})["entries"]:
+        found = fingerprint(spark, f"{target}/{e['name']}", e["keys"], e["depth"])
+        part = tree_differences(spark.read.parquet(f"{target}/digests/{e['name']}"), found).withColumn("dataset", F.lit(e["name"]))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def verify(spark: SparkSession, target: str, namespace: uuid.UUID = uuid.NAMESPACE_OID) -> bool:
+    """Whether a frozen snapshot still has the id, the trees and the content that its manifest states."""
+    body = stated(spark, target, namespace)
+    same = body is not None and all(summary(spark, target, e["name"], e["keys"], e["depth"]) == e for e in body["entries"])
+    return same and (not body["entries"] or differences(spark, target).isEmpty())
 
 
 CAPTURE = "capture_id string, provider_namespace string, source_family string, content_sha256 string, length long, retrieved_at string, adapter_version string, parser_version string, retention_class string, license_name string, parameters string"
@@ -144,7 +129,7 @@ CONTRACT = ("format", "format_version", "dataset", "key", "schema_version", "cod
 
 
 class TypedStore:
-    """Datasets of canonical records under one root, each with a contract beside it that every reader checks."""
+    """Datasets of canonical records under one root, each with a contract in every file's footer that every reader checks."""
 
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False) -> None:
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
@@ -167,19 +152,13 @@ class TypedStore:
         bad = violations(records, name).take(3)
         if bad:
             raise ValueError(f"{name}: " + "; ".join(f"{r[0]}: {', '.join(r['broken'])}" for r in bad))
-        files.write_once(self.spark, f"{self.root}/contracts/{d.name}.json", canonical_json(self.contract(name)))
-        return upsert(self.spark, self.path(name), records, d.key, F.xxhash64(F.to_json(F.struct(*(f for f in d.schema.fieldNames() if f != d.key)))))
+        return upsert(self.spark, self.path(name), records, d.key, F.xxhash64(F.to_json(F.struct(*(f for f in d.schema.fieldNames() if f != d.key)))), self.contract(name))
 
     def load(self, name: str) -> DataFrame:
-        """The records; none without the dataset. Another contract than the one expected raises."""
+        """The records; none without the dataset. A part file whose footer states another contract than the one expected raises, with its name."""
         d = DATASETS[name]
-        stated = files.read(self.spark, f"{self.root}/contracts/{d.name}.json")
-        if stated is None:
-            return self.spark.createDataFrame([], d.schema)
-        if json.loads(stated) != self.contract(name):
-            differ = [k for k, v in self.contract(name).items() if json.loads(stated).get(k) != v]
-            raise ConflictError(f"{name}: contract differs in {', '.join(differ)}")
-        return self.spark.read.schema(d.schema).parquet(self.path(name))
+        check_footers(self.spark, self.path(name), d.key, self.contract(name))
+        return read_dataset(self.spark, self.path(name), d.schema)
 
     def counts(self) -> DataFrame:
         """(dataset, records) of every dataset, zero without one."""
