@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bodies
 from ..session import shared_folder
 from ..sources import captures, datasets
 from ..tables import daily_bars, table
@@ -28,10 +29,10 @@ def q71_paged_bars(spark: SparkSession, d: str) -> DataFrame:
     asked = captures.segments(symbols, *ASKED)
     names = spark.createDataFrame([(s.listing_id, s.symbol, str(s.first), str(s.last)) for s in asked], "listing_id string, symbol string, first string, last string")
     rows = bars.join(F.broadcast(names), (F.concat(F.lit("L"), "security_id") == F.col("listing_id")) & F.col("session_date").between(F.to_date("first"), F.to_date("last")))
-    bodies = captures.bar_bodies(rows.select("symbol", "first", "last", "session_date", "open", F.col("close").alias("high"), F.col("open").alias("low"), "close", F.col("n").alias("volume")), PAGE)
+    pages = captures.bar_bodies(rows.select("symbol", "first", "last", "session_date", "open", F.col("close").alias("high"), F.col("open").alias("low"), "close", F.col("n").alias("volume")), PAGE)
     # a nation without a bar has no page: an empty one says so
     empty = names.join(rows.select("symbol").distinct(), "symbol", "left_anti").select(F.concat_ws("_", "symbol", "first", "last").alias("collection"), F.lit("").alias("name"), F.encode(F.lit('{"bars":{},"next_page_token":null}'), "UTF-8").alias("content"), F.to_json(F.struct("symbol", "first", "last")).alias("parameters"))
-    captures.capture_rows(bodies.unionByName(empty), root, retrieved_at="2024-01-01T00:00:00Z")
+    captures.capture_rows(pages.unionByName(empty), root, retrieved_at="2024-01-01T00:00:00Z")
     found = captures.listing_bars(captures.paged(spark, root, asked).filter("session_date BETWEEN DATE '1994-03-01' AND DATE '1997-03-01'"))
     cents = lambda c: (F.col(c) * 100).cast("bigint").alias(f"{c}_cents")
     return found.select("listing_id", "symbol", F.col("session_date").cast("string").alias("session_date"), cents("open"), cents("close"), "volume", "page")
@@ -72,3 +73,12 @@ def q73_bucketed_upsert(spark: SparkSession, d: str) -> DataFrame:
     for part in (rows.filter("k % 3 = 0"), rows.filter("k % 3 <> 1"), rows.filter("late OR k % 6 = 0")):
         datasets.upsert(spark, path, part, "k", F.to_json(F.struct("k", "v", "late")))
     return datasets.read_dataset(spark, path, rows.schema)
+
+
+@register(r"""WITH t AS (SELECT click_id, unnest(j) AS j FROM (SELECT click_id, (SELECT list(x) FROM json_tree(props) x) AS j FROM clicks WHERE json_valid(props))),
+w AS (SELECT click_id, replace(regexp_replace(substr(j.fullkey, 2), '\[[0-9]+\]', '/*', 'g'), '.', '/') AS place, CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type, json_extract_string(j.atom, '$') AS value, CAST(j.value AS VARCHAR) IN ('{}', '[]', '""') AS empty FROM t)
+SELECT place, type, count(*) AS n, count(DISTINCT click_id) AS bodies, count(*) FILTER (WHERE empty) AS empty, count(DISTINCT value) AS "distinct" FROM w GROUP BY 1, 2""")
+def q74_body_places(spark: SparkSession, d: str) -> DataFrame:
+    """What each place of the clicks' JSON bodies holds."""
+    walked = bodies.walk(table(spark, d, "clicks"), "click_id", "props")
+    return bodies.place_statistics(walked, "click_id")
