@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,50 @@ def contrast(rows: DataFrame, *by: str) -> DataFrame:
     return grouped.agg((part("p_n", "p_sum") - part("s_n", "s_sum")).alias("contrast"))
 
 
+#: Clusters whose sums go to every task that draws (32 bytes each), and draws to a task.
+HELD, DRAWS = 1 << 20, 1 << 21
+
+
+def resampled(groups: DataFrame, domain: str, seed: int, resamples: int) -> DataFrame:
+    """(resample, p_n, p_sum, s_n, s_sum): the clusters' sums, each as often as its resample draws it.
+
+    A task draws whole resamples and adds up whole numbers, so a resample leaves it as one row and no draw is
+    shuffled. Beyond ``HELD`` clusters, for sums that are no 64-bit integers, or if a draw was rejected (chance
+    of some 2**-44 at a million clusters and 5,000 resamples), draws are made as rows and joined instead.
+    """
+    spark = groups.sparkSession
+    columns = ["p_n", "p_sum", "s_n", "s_sum"]
+    size, top = groups.agg(F.count("*"), F.greatest(*(F.max(F.abs(F.col(c).cast("decimal(38,0)"))) for c in columns))).first()
+    whole = all(t in ("int", "bigint") or t.startswith("decimal") and t.endswith(",0)") for c, t in groups.dtypes if c in columns)
+    if whole and 0 < size <= HELD and size * int(top) < 1 << 62:
+        held = groups.orderBy("idx").select("idx", *(F.col(c).cast("bigint") for c in columns)).toPandas()
+        sums = np.ascontiguousarray(held[columns].to_numpy(np.int64).T)
+        if (held["idx"].to_numpy() != np.arange(size)).any():
+            raise ValueError("clusters are not numbered from 0 without a gap")
+        prefix, limit = domain.encode() + seed.to_bytes(8, "big"), 2**64 // size * size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = np.zeros((6, batch.num_rows), np.int64)
+                for at, resample in enumerate(batch.column("id").to_pylist()):
+                    out[0, at] = resample
+                    for first in range(resample * size, (resample + 1) * size, 1 << 16):
+                        counters = np.arange(first, min(first + (1 << 16), (resample + 1) * size), dtype=">u8").tobytes()
+                        digests = b"".join([hashlib.sha256(prefix + counters[j : j + 8]).digest()[:8] for j in range(0, len(counters), 8)])
+                        words = np.frombuffer(digests, ">u8")
+                        if limit < 2**64:
+                            out[5, at] += np.count_nonzero(words >= np.uint64(limit))
+                        out[1:5, at] += sums[:, (words % np.uint64(size)).astype(np.int64)].sum(axis=1)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["resample", *columns, "rejected"])
+
+        parts = min(resamples, max(1, -(-resamples * size // DRAWS), spark.sparkContext.defaultParallelism))
+        found = stored(spark.range(0, resamples, 1, parts).mapInArrow(run, "resample long, p_n long, p_sum long, s_n long, s_sum long, rejected long"))
+        if found.filter("rejected > 0").isEmpty():
+            return found.select("resample", *columns)
+    drawn = draws(spark, domain, seed, resamples, max(size, 1), max(8, -(-resamples * size // DRAWS)))
+    return drawn.join(groups, "idx").groupBy("resample").agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def draws(spark, domain: str, seed: int, resamples: int, size: int, partitions: int = 8) -> DataFrame:
     """(resample, position, idx): counter-mode SHA-256 draws below ``size``.
 
@@ -83,9 +130,9 @@ def index_digest(drawn: DataFrame) -> str:
     return out.hexdigest()
 
 
-def bootstrap(drawn: DataFrame, groups: DataFrame) -> DataFrame:
-    """(resamples, missing, lower, upper): nearest-rank 2.5 and 97.5 % of the resampled contrasts."""
-    each = contrast(drawn.join(groups, "idx"), "resample")
+def bootstrap(sums: DataFrame) -> DataFrame:
+    """(resamples, missing, lower, upper): nearest-rank 2.5 and 97.5 % of the contrasts of resamples, of which there are as many as a plan fixes."""
+    each = contrast(sums, "resample")
     w = Window.orderBy("contrast")
     valid = each.filter("contrast IS NOT NULL").withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy()))
     ends = valid.agg(F.max("n").alias("valid"), F.max(F.when(F.col("k") == F.expr("(n + 39) DIV 40"), F.col("contrast"))).alias("lower"), F.max(F.when(F.col("k") == F.expr("(39 * n + 39) DIV 40"), F.col("contrast"))).alias("upper"))
@@ -93,10 +140,9 @@ def bootstrap(drawn: DataFrame, groups: DataFrame) -> DataFrame:
     return total.crossJoin(ends)
 
 
-def exact_bootstrap(drawn: DataFrame, groups: DataFrame, resamples: int) -> dict:
+def exact_bootstrap(sums: DataFrame, resamples: int) -> dict:
     """valid, missing, lower and upper as fractions, from whole-number sums of each resample; ``resamples`` rows come to the driver."""
-    sums = drawn.join(groups, "idx").groupBy("resample").agg(*(F.sum(c).alias(c) for c in ("p_n", "p_sum", "s_n", "s_sum"))).collect()
-    values = [v for v in (exact_contrast(r["p_n"], r["p_sum"], r["s_n"], r["s_sum"]) for r in sums) if v is not None]
+    values = [v for v in (exact_contrast(r["p_n"], r["p_sum"], r["s_n"], r["s_sum"]) for r in sums.collect()) if v is not None]
     return {"resamples": resamples, "valid": len(values), "missing": resamples - len(values), "lower": nearest_rank(values, Fraction(1, 40)), "upper": nearest_rank(values, Fraction(39, 40))}
 
 
@@ -196,8 +242,7 @@ def analyze_horizon(rows: DataFrame, value: str, unit: int, horizon: int, plan:
     done = rows.filter((F.col("selection") == "selected") & F.col("timing_eligible") & (F.col("status") == "complete") & F.col("event_type").isin(*ARMS))
     groups = stored(clusters(done, "issuer_id", F.col("event_type") == ARMS[0], F.col("event_type") == ARMS[1], value))
     size, resamples = groups.count(), plan.mechanics["resamples"]
-    drawn = draws(rows.sparkSession, domain, plan.mechanics["seed"], resamples, max(size, 1))
-    boot = exact_bootstrap(drawn, groups.select("idx", "p_n", "p_sum", "s_n", "s_sum"), resamples) if size else {"resamples": resamples, "valid": 0, "missing": resamples, "lower": None, "upper": None}
+    boot = exact_bootstrap(resampled(groups.select("idx", "p_n", "p_sum", "s_n", "s_sum"), domain, plan.mechanics["seed"], resamples), resamples) if size else {"resamples": resamples, "valid": 0, "missing": resamples, "lower": None, "upper": None}
     purchase = arms.get(ARMS[0])
     net25 = Fraction(purchase["total"]) / purchase["complete"] / unit - Fraction(25, 10000) if purchase and purchase["complete"] else None
     boot = boot | {k: None if boot[k] is None else boot[k] / unit for k in ("lower", "upper")} | {"clusters": size}

@@ -122,10 +122,9 @@ bt AS MATERIALIZED (SELECT (SELECT count(*) FROM c) AS resamples, (SELECT count(
 
 @register(f"{STUDY60}, {_CLUSTERS}, {_BOOTSTRAP} SELECT resamples, missing, CAST(round(lower) AS BIGINT) AS lower_ppm, CAST(round(upper) AS BIGINT) AS upper_ppm FROM bt")
 def q29_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    groups = issuer_clusters(spark, d).select("idx", "p_n", "p_sum", "s_n", "s_sum")
-    size = groups.count()
-    drawn = inference.draws(spark, DOMAIN, SEED, RESAMPLES, max(size, 1))
-    return inference.bootstrap(drawn, groups).select("resamples", "missing", F.round("lower").cast("bigint").alias("lower_ppm"), F.round("upper").cast("bigint").alias("upper_ppm"))
+    groups = lineage.stored(issuer_clusters(spark, d).select("idx", "p_n", "p_sum", "s_n", "s_sum"))
+    sums = inference.resampled(groups, DOMAIN, SEED, RESAMPLES)
+    return inference.bootstrap(sums).select("resamples", "missing", F.round("lower").cast("bigint").alias("lower_ppm"), F.round("upper").cast("bigint").alias("upper_ppm"))
 
 
 def analysis_rows(rows: DataFrame) -> DataFrame:

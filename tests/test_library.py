@@ -87,7 +87,7 @@ def test_strict_parsers(spark):
 def test_bootstrap_golden_values(spark):
     groups = spark.createDataFrame([(0, 1, 0.25, 1, 0.0), (1, 1, 0.25, 1, 0.0)], "idx int, p_n int, p_sum double, s_n int, s_sum double")
     drawn = inference.draws(spark, "any", 3, 50, 2)
-    row = inference.bootstrap(drawn, groups).first()
+    row = inference.bootstrap(inference.resampled(groups, "any", 3, 50)).first()  # sums that are no whole numbers: by joined draws
     assert (row["resamples"], row["missing"], row["lower"], row["upper"]) == (50, 0, 0.25, 0.25)
     assert len(inference.index_digest(drawn)) == 64
     assert inference.index_digest(drawn) == inference.index_digest(inference.draws(spark, "any", 3, 50, 2, partitions=3))
@@ -95,6 +95,17 @@ def test_bootstrap_golden_values(spark):
     assert abs(inference.contrast(mix).first()[0] - 1 / 6) < 1e-12
 
 
+def test_resampled_sums_are_those_of_joined_draws(spark, monkeypatch):
+    groups = spark.createDataFrame([(i, i % 3, i * 7 - 50, i % 2, 11 - i) for i in range(37)], "idx int, p_n long, p_sum long, s_n long, s_sum long")
+    found = sorted(map(tuple, inference.resampled(groups, "any", 5, 60).collect()))
+    monkeypatch.setattr(inference, "HELD", 10)
+    joined = sorted(map(tuple, inference.resampled(groups, "any", 5, 60).collect()))
+    assert found == joined and len(found) == 60
+    with pytest.raises(ValueError, match="gap"):
+        monkeypatch.setattr(inference, "HELD", 100)
+        inference.resampled(groups.filter("idx <> 4"), "any", 5, 60)
+
+
 def test_verdict_boundaries():
     plan = inference.Plan()
     arms = {a: {"complete": 1000, "issuers": 200, "actionable": 1111} for a in inference.ARMS}
