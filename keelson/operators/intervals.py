@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import running
+
 
 def holds_on(day: Column, start: Column, end: Column, unknown: Column | None = None) -> Column:
     """Whether [start, end) holds on a day; open where null; null where a bound is unknown."""
@@ -46,17 +48,16 @@ def uncovered(rows: DataFrame, key: str, start: str, end: str, first: Column, la
 def sweep(rows: DataFrame, start: str, end: str, owner: str, partition: str) -> DataFrame:
     """(partition, peak_active, peak_owners, peak_repeats): the most closed intervals at once, in each partition.
 
-    An interval that starts when another ends counts with it. Two windows: one by owner, one by time; a
-    partition that does not bound the rows should be split by time first.
+    An interval that starts when another ends counts with it. Steps are summed by instant first, and both
+    running sums (an owner's, then the partition's) go by ranges of time, so that neither an owner nor a
+    partition with all rows is one task.
     """
     edge = F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("step"))))
     edges = rows.select(partition, owner, edge.alias("e")).groupBy(partition, owner, F.col("e.at").alias("at"), F.col("e.kind").alias("kind")).agg(F.sum("e.step").alias("step"))
-    own = Window.partitionBy(partition, owner).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = edges.withColumn("n", F.sum("step").over(own)).withColumn("before", F.col("n") - F.col("step"))
+    counted = running(edges, [partition, owner], ["at", "kind"], n="step").withColumn("before", F.col("n") - F.col("step"))
     counted = counted.withColumn("owners", F.when((F.col("before") == 0) & (F.col("n") > 0), 1).when((F.col("before") > 0) & (F.col("n") == 0), -1).otherwise(0))
     steps = counted.groupBy(partition, "at", "kind").agg(F.sum("step").alias("step"), F.sum("owners").alias("owners"))
-    whole = Window.partitionBy(partition).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select(partition, F.sum("step").over(whole).alias("active"), F.sum("owners").over(whole).alias("distinct"))
+    run = running(steps, [partition], ["at", "kind"], active="step", distinct="owners")
     return run.groupBy(partition).agg(F.max("active").alias("peak_active"), F.max("distinct").alias("peak_owners"), F.max(F.col("active") - F.col("distinct")).alias("peak_repeats"))
 
 

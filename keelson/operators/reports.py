@@ -5,9 +5,11 @@ from __future__ import annotations
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import at_ranks
+
 
 def histogram(rows: DataFrame, by: str, status: str, values: tuple[str, ...]) -> DataFrame:
     """(by, status, n) for all statuses, zero where there is none."""
@@ -21,29 +23,14 @@ def crosstab(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.rollup(*columns).agg(F.count("*").alias("n"), level.cast("int").alias("level"))
 
 
-def ranked(rows: DataFrame, by: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(value)
-    return rows.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-
-
-def at_rank(value: str, rank: Column) -> Column:
-    return F.max(F.when(F.col("k") == rank, F.col(value)))
+#: Ranks of a group of n: the two that its median lies between, and the nearest ranks of its first and last decile.
+RANKS = {"m1": lambda n: F.floor((n + 1) / 2), "m2": lambda n: F.floor(n / 2) + 1, "p10": lambda n: F.floor((n + 9) / 10), "p90": lambda n: F.floor((9 * n + 9) / 10)}
 
 
 def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
     """n, mean, twice the median, extremes, nearest-rank deciles and the number above zero, by group, from whole ranks."""
-    n = F.col("n")
-    whole = lambda x: F.floor(x).cast("int")
-    return ranked(rows.filter(F.col(value).isNotNull()), by, value).groupBy(by).agg(
-        F.max("n").alias("n"),
-        F.round(F.sum(value) / F.max("n")).cast("bigint").alias("mean"),
-        (at_rank(value, whole((n + 1) / 2)) + at_rank(value, whole(n / 2) + 1)).alias("median_x2"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        at_rank(value, whole((n + 9) / 10)).alias("p10"),
-        at_rank(value, whole((9 * n + 9) / 10)).alias("p90"),
-        F.count_if(F.col(value) > 0).alias("positive"),
-    )
+    mean = F.round(F.col("sum") / F.col("n")).cast("bigint").alias("mean")
+    return at_ranks(rows, by, value, RANKS).select(by, "n", mean, (F.col("m1") + F.col("m2")).alias("median_x2"), "low", "high", "p10", "p90", "positive")
 
 
 def largest_share(rows: DataFrame, by: str, owner: str) -> DataFrame:
@@ -72,9 +59,7 @@ def exact_distribution(rows: DataFrame, by: str, value: str, unit: int = 1) -> d
             c.prec, c.rounding = 50, ROUND_HALF_EVEN
             return Decimal(x.numerator) / Decimal(x.denominator)
 
-    n = F.col("n")
-    whole = lambda x: F.floor(x).cast("int")
-    found = ranked(rows.filter(F.col(value).isNotNull()), by, value).groupBy(by).agg(F.max("n").alias("n"), F.sum(value).alias("sum"), (at_rank(value, whole((n + 1) / 2)) + at_rank(value, whole(n / 2) + 1)).alias("twice"), F.min(value).alias("low"), F.max(value).alias("high"), at_rank(value, whole((n + 9) / 10)).alias("p10"), at_rank(value, whole((9 * n + 9) / 10)).alias("p90"), F.count_if(F.col(value) > 0).alias("positive"))
+    found = at_ranks(rows, by, value, RANKS).withColumn("twice", F.col("m1") + F.col("m2"))
     out = {}
     for r in found.collect():
         f = lambda x, d=1: shown(Fraction(x) / d / unit)
