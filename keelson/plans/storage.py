@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bodies
 from ..session import shared_folder
-from ..sources import captures, datasets
+from ..sources import captures, datasets, regeneration
+from ..streaming import first_seen_stream, latest
 from ..tables import daily_bars, table
 from .common import BAR, register
 
@@ -82,3 +83,33 @@ def q74_body_places(spark: SparkSession, d: str) -> DataFrame:
     """What each place of the clicks' JSON bodies holds."""
     walked = bodies.walk(table(spark, d, "clicks"), "click_id", "props")
     return bodies.place_statistics(walked, "click_id")
+
+
+@register("""SELECT coalesce(json_extract_string(props, '$.device.os'), 'none') AS key, count(*) AS n, CAST(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS total FROM clicks WHERE json_valid(props) GROUP BY 1""")
+def q75_regeneration(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks by operating system, regenerated from captured bodies in two runs, of which the second derives only what came since."""
+    root = f"{shared_folder(spark)}/regenerated-{uuid.uuid4().hex}"
+    part = F.floor(F.col("click_id") / 500).cast("string")
+    rows = table(spark, d, "clicks").filter("props IS NOT NULL").groupBy(part.alias("name")).agg(F.encode(F.array_join(F.array_sort(F.collect_list("props")), "\n"), "UTF-8").alias("content"))
+    rows = rows.select(F.lit("clicks").alias("collection"), "name", "content", F.lit(None).cast("string").alias("parameters"))
+
+    def derive(found: DataFrame) -> DataFrame:
+        lines = found.select("digest", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+        lines = lines.select("digest", F.try_parse_json("line").alias("v")).filter("v IS NOT NULL")
+        return lines.groupBy("digest", F.coalesce(F.try_variant_get("v", "$.device.os", "string"), F.lit("none")).alias("key")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.try_variant_get("v", "$.k", "bigint"), F.lit(0))).alias("total"))
+
+    for chosen in (F.col("name").cast("int") % 2 == 0, F.lit(True)):
+        captures.capture_rows(rows.filter(chosen), root)
+        run = regeneration.regenerate(spark, root, f"{root}/report", derive)
+    return run.report.select("key", "n", F.col("total").cast("bigint").alias("total"))
+
+
+@register("WITH w AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS k, min(event_type) OVER (PARTITION BY user_id) <> max(event_type) OVER (PARTITION BY user_id) AS conflict FROM events) SELECT user_id, event_type, conflict FROM w WHERE k = 1")
+def q76_first_seen_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The first event of each user and whether others differ from it, as a stream that keeps state tells them."""
+    folder = f"{shared_folder(spark)}/first-seen-{uuid.uuid4().hex}"
+    path = f"{d}/events.parquet"
+    # a pattern, as a stream takes a folder or a pattern, and the table may be a file
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]").select("user_id", "event_type", "ts")
+    first_seen_stream(rows, "user_id", "ts", "event_type", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return latest(spark.read.parquet(f"{folder}/out"), "user_id").select("user_id", "event_type", "conflict")

@@ -21,8 +21,8 @@ def first_seen(rows: DataFrame, key: str, at: str, meaning: list[str]) -> DataFr
     """The first record of each key by time, with ``conflict``: records of the key differ in meaning."""
     w = Window.partitionBy(key)
     digest = F.xxhash64(*meaning)
-    numbered = rows.withColumn("k", F.row_number().over(w.orderBy(at, *meaning))).withColumn("conflict", F.min(digest).over(w) != F.max(digest).over(w))
-    return numbered.filter("k = 1").drop("k")
+    numbered = rows.withColumn("_place", F.row_number().over(w.orderBy(at, *meaning))).withColumn("conflict", F.min(digest).over(w) != F.max(digest).over(w))
+    return numbered.filter("_place = 1").drop("_place")
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES) and len(QUERIES) == 74
+    assert set(SQL) == set(QUERIES) and len(QUERIES) == 76
 
 
 def test_status_counts_are_complete(spark):
