@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import stored
 from .scans import running
 
 
@@ -14,10 +15,46 @@ def holds_on(day: Column, start: Column, end: Column, unknown: Column | None = N
     return inside if unknown is None else F.when(~unknown, inside)
 
 
+def dyadic(start: Column, end: Column, bits: int) -> Column:
+    """The aligned power-of-two spans that make up the whole numbers [start, end) below 2**bits: structs of level and span.
+
+    A level adds its first span if that is a right child, and its last one if that is a left child; there
+    are at most two on each of the levels.
+    """
+    spans = []
+    for level in range(bits + 1):
+        first, last = F.shiftright(start + ((1 << level) - 1), level), F.shiftright(end, level)
+        for taken, span in ((first % 2 == 1, first), (last % 2 == 1, last - 1)):
+            spans.append(F.when((first < last) & taken, F.struct(F.lit(level).alias("level"), span.alias("span"))))
+    return F.array_compact(F.array(*spans))
+
+
 def range_join(left: DataFrame, right: DataFrame, key: str, day: str, start: str, end: str) -> DataFrame:
-    """Rows of ``left`` with the rows of ``right`` of one key whose interval holds on the day; none is lost."""
-    r = right.withColumnRenamed(key, "its_key")
-    return left.join(r, (left[key] == F.col("its_key")) & holds_on(left[day], F.col(start), F.col(end)), "left").drop("its_key")
+    """Rows of ``left`` with the rows of ``right`` of one key whose interval holds on the day; none is lost.
+
+    An equi-join: an interval is cut into aligned spans of days, and a day looks for each span that it lies
+    in, on the levels that intervals have. So a key's intervals are spread over tasks by their spans, and a
+    day meets only intervals that hold on it. Days are counted from the first to the last that ``left`` has,
+    and intervals clipped to them, open ends included.
+    """
+    numbered = stored(left.withColumn("its_row", F.monotonically_increasing_id()))
+    first, last = numbered.agg(F.min(F.unix_date(day)), F.max(F.unix_date(day))).first()
+    others = [c for c in right.columns if c != key]
+    if first is None:
+        return left.join(right.select(*others).limit(0), F.lit(False), "left")
+    bits = (last - first).bit_length()
+    clipped = lambda c, default: F.least(F.greatest(F.coalesce(F.unix_date(c) - first, F.lit(default)), F.lit(0)), F.lit(last - first + 1)).cast("bigint")
+    cut = right.select(F.col(key).alias("its_key"), *others, F.explode(dyadic(clipped(start, 0), clipped(end, last - first + 1), bits)).alias("at"))
+    cut = stored(cut.filter("its_key IS NOT NULL"))
+    levels = sorted(r[0] for r in cut.select("at.level").distinct().collect())  # some 14 at most for 40 years
+    if not levels:
+        return numbered.drop("its_row").join(cut.drop("its_key", "at").limit(0), F.lit(False), "left")
+    place = (F.unix_date(day) - first).cast("bigint")
+    probes = numbered.withColumn("probe", F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright(place, n).alias("span")) for n in levels))))
+    met = probes.join(cut, (F.col(key) == F.col("its_key")) & (F.col("probe.level") == F.col("at.level")) & (F.col("probe.span") == F.col("at.span")))
+    met = met.drop("probe", "at", "its_key")
+    missed = numbered.join(met.select("its_row"), "its_row", "left_anti").select(*left.columns, "its_row", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in others))
+    return met.unionByName(missed.select(*met.columns)).drop("its_row")
 
 
 def overlaps_before(rows: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:
