@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal
@@ -104,10 +104,16 @@ def temporal_of(rows: DataFrame) -> str:
     return rows.schema["public"].dataType.simpleString()
 
 
+def once(rows: DataFrame, key: str, message: str) -> DataFrame:
+    """Rows with a key of their own, by the partitioning that a join on the key needs anyway; a key that comes twice raises."""
+    counted = rows.withColumn("times", F.count("*").over(Window.partitionBy(key)))
+    return require(counted, F.col(key).isNull() | (F.col("times") == 1), message).drop("times")
+
+
 def identified(rows: DataFrame, bindings: DataFrame, securities: DataFrame, listings: DataFrame) -> DataFrame:
     """Rows with the reviewed or else their own security and listing, and ``identity_error``."""
     b = bindings.select(F.col("event_id").alias("bound"), F.col("security_id").alias("bound_security"), F.col("listing_id").alias("bound_listing"), "history_ids")
-    rows = rows.join(b, F.col("event_id") == F.col("bound"), "left")
+    rows = rows.join(once(b, "bound", "an event has two bindings"), F.col("event_id") == F.col("bound"), "left")
     has = F.col("bound").isNotNull()
     rows = rows.withColumn("use_security", F.when(has, F.col("bound_security")).otherwise(F.col("security_id"))).withColumn("use_listing", F.when(has, F.col("bound_listing")).otherwise(F.col("listing_id")))
     s = securities.select(F.col("security_id").alias("real_security"), F.col("issuer_id").alias("real_issuer"))
@@ -132,7 +138,8 @@ def identified(rows: DataFrame, bindings: DataFrame, securities: DataFrame, list
 
 def preliminary(rows: DataFrame, controls: DataFrame, diagnostic: bool, benchmark: bool) -> DataFrame:
     """Rows with the status and reason that need no price, null where an outcome has to be computed, and the terminal date."""
-    rows = rows.join(controls.select(F.col("event_id").alias("controlled"), "exclusion_reason", "terminal_date"), F.col("event_id") == F.col("controlled"), "left").drop("controlled")
+    c = once(controls.select(F.col("event_id").alias("controlled"), "exclusion_reason", "terminal_date"), "controlled", "an event has two controls")
+    rows = rows.join(c, F.col("event_id") == F.col("controlled"), "left").drop("controlled")
     unresolved = F.col("real_security").isNull() & F.col("real_listing").isNull()
     as_ = lambda status, reason: F.struct(F.lit(status).alias("status"), reason.alias("reason"))
     state = (

@@ -72,14 +72,14 @@ def ancestors(spark: SparkSession, edges: DataFrame, depth: int = 128) -> DataFr
 
     Steps double: what is known of fewer than 2**k steps is joined with the pairs of exactly 2**k, and those
     with themselves, so a lineage of 128 generations takes eight rounds. Rounds are written to the shared
-    folder.
+    folder. A cycle has pairs of any length, so what is too deep is looked into for one.
     """
-    check_acyclic(edges)
     exact = stored(edges.select("node", F.col("parent").alias("ancestor")).filter("ancestor IS NOT NULL").distinct())
     known = stored(edges.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")).distinct())
     length = 1
     while not exact.isEmpty():
         if length > depth:
+            check_acyclic(edges)
             raise ValueError(f"lineage is deeper than {depth}")
         onward = exact.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("on"))
         reached = known.join(onward, "ancestor").select("node", F.col("on").alias("ancestor"), (F.col("steps") + length).alias("steps"))

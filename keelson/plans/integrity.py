@@ -278,12 +278,12 @@ def q63_vendor_dates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.col("day").cast("string").alias("day"), F.col("c.precision").alias("precision"), F.date_format("c.timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@register("SELECT count(*) AS claims, count(DISTINCT k) AS keys FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)")
+@register("SELECT count(*) AS claims, count(DISTINCT k) AS keys FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
 def q64_merged_claims(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("value"))
     nested = c.filter("c_custkey % 2 = 0").groupBy("value").agg(F.collect_list("c_custkey").alias("ids")).select(F.explode("ids").alias("c_custkey"), "value")
     merged = lineage.merged_claims(nested, c.filter("c_custkey % 3 = 0"), c.filter("c_custkey % 5 = 0"), key="c_custkey")
-    return lineage.appended(merged, merged.limit(0)).agg(F.count("*").alias("claims"), F.count_distinct("c_custkey").alias("keys"))
+    return lineage.appended(merged, c.filter("c_custkey % 7 = 0").select(merged.columns)).agg(F.count("*").alias("claims"), F.count_distinct("c_custkey").alias("keys"))
 
 
 @register(f"SELECT l_orderkey, bool_and({_MODE} IN ('AIR', 'RAIL', 'MAIL', 'SHIP')) AS allowed FROM lineitem GROUP BY 1")

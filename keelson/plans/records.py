@@ -70,14 +70,14 @@ def q09_next_session_exact(spark: SparkSession, d: str) -> DataFrame:
     return sessions.next_session_by_instant(rows, F.col("ts"), cal, opens).select("event_id", F.col("entry_date").cast("string").alias("entry_date"))
 
 
-@register("""WITH d AS (SELECT CAST(g AS DATE) AS d, h.h, CAST(g AS DATE) + INTERVAL (h.h * 60 + 30) MINUTE AS local FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(g) CROSS JOIN (VALUES (0), (1), (2), (3), (12)) h(h)),
+@register("""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 5 WHEN 4 THEN 12 ELSE o_orderkey % 5 END AS h FROM orders), d AS (SELECT d, h, d + INTERVAL (h * 60 + 30) MINUTE AS local FROM o),
 b AS (SELECT *, make_date(CAST(year(d) AS INTEGER), 4, 1) AS a1, make_date(CAST(year(d) AS INTEGER), 10, 31) AS o31 FROM d),
 c AS (SELECT *, a1 + CAST((7 - isodow(a1)) AS INTEGER) AS spring, o31 - CAST((isodow(o31) % 7) AS INTEGER) AS autumn FROM b)
-SELECT strftime(local, '%Y%m%d%H%M%S') AS raw, CASE WHEN d = spring AND h = 2 THEN NULL WHEN d = autumn AND h = 1 THEN NULL WHEN (d > spring OR d = spring AND h > 2) AND (d < autumn OR d = autumn AND h < 1) THEN strftime(local + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M:%S') ELSE strftime(local + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') END AS utc FROM c""")
+SELECT strftime(local, '%Y%m%d%H%M%S') AS raw, CASE WHEN d = spring AND h = 2 THEN NULL WHEN d = autumn AND h = 1 THEN NULL WHEN (d > spring OR d = spring AND h > 2) AND (d < autumn OR d = autumn AND h < 1) THEN strftime(local + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M:%S') ELSE strftime(local + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') END AS utc, count(*) AS n FROM c GROUP BY ALL""")
 def q43_crosscheck_dates(spark: SparkSession, d: str) -> DataFrame:
-    days = spark.sql("SELECT explode(sequence(DATE '1995-01-01', DATE '2001-12-31')) AS day")
-    rows = days.select("day", F.explode(F.array(*(F.lit(f"{h:02d}3000") for h in (0, 1, 2, 3, 12)))).alias("clock")).select(F.concat(F.date_format("day", "yyyyMMdd"), "clock").alias("raw"))
-    return rows.select("raw", F.date_format(temporal.local_to_utc(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    hour = F.when(F.col("o_orderkey") % 5 == 4, 12).otherwise(F.col("o_orderkey") % 5)
+    rows = table(spark, d, "orders").select(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad(hour.cast("string"), 2, "0"), F.lit("3000")).alias("raw"))
+    return rows.groupBy("raw", F.date_format(temporal.local_to_utc(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc")).agg(F.count("*").alias("n"))
 
 
 # --- identity

@@ -55,3 +55,14 @@ def test_a_chain_of_100000_nodes(spark):
     with pytest.raises(ValueError, match="two parents"):
         lineage.roots(frame(spark, [(1, 2), (1, 3)]))
     assert lineage.roots(frame(spark, [])).count() == 0
+
+
+def test_a_key_that_comes_twice_raises(spark):
+    from pyspark.errors import PySparkException
+
+    from keelson.operators import assembly
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "k long, v string")
+    assert assembly.once(rows, "k", "twice").count() == 4
+    with pytest.raises(PySparkException, match="twice"):
+        assembly.once(rows.union(rows.filter("k = 1")), "k", "twice").collect()
