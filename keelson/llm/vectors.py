@@ -129,7 +129,9 @@ def tile_links(distinct: DataFrame, dimension: int, threshold: float, tile: int)
     each = own.select("rep", "n", "label", "embedding", *at, "tile", F.explode("around").alias("o")).select("*", F.explode(F.sequence(F.lit(0), F.col("o.there") - 1)).alias("other"))
     here = F.struct(*at, "tile")
     there = F.struct(*((F.col(c) + F.col(f"o.d{i}")).alias(c) for i, c in enumerate(at)), F.col("other").alias("tile"))
-    pair = each.select("rep", "n", "embedding", F.xxhash64("label", F.least(here, there), F.greatest(here, there)).alias("key"), F.when(here == there, 0).when(here < there, 1).otherwise(2).alias("side"))
+    # the pair itself is the key: two pairs under one hash would be compared as one
+    key = F.concat(F.least(here, there).cast("string"), F.greatest(here, there).cast("string"), F.col("label").cast("string"))
+    pair = each.select("rep", "n", "embedding", key.alias("key"), F.when(here == there, 0).when(here < there, 1).otherwise(2).alias("side"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, "key", 4 * tile):
