@@ -32,6 +32,8 @@ DUPLICATE, GOOD, TOXIC = 16, 32, 64
 #: Code points at which the first and the second block end.
 BLOCKS = (256, 4096)
 KEYS = ["length", "block1", "block2", "block3"]
+#: Numbers that classes of duplicates are reduced to, to leave out texts of no class before texts are shuffled.
+SIEVE = 1 << 20
 COUNTS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 
 
@@ -101,7 +103,10 @@ def counted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = kept(masked(texts, labels))
     alike = refined(rows)
     classes = alike.groupBy(*KEYS).agg(F.min("doc_id").alias("low"))
-    texts = texts.filter("doc_id IS NOT NULL")
+    # most texts are like no other: they stay where they are, sieved by at most SIEVE numbers, which is what is broadcast
+    number = F.pmod(F.xxhash64(*KEYS), F.lit(SIEVE)).cast("int")
+    sieve = classes.select(number.alias("number")).distinct()
+    texts = texts.filter("doc_id IS NOT NULL").withColumn("number", number).join(F.broadcast(sieve), "number", "left_semi").drop("number")
     firsts = texts.join(classes, KEYS).filter(F.col("doc_id") == F.col("low")).select(*KEYS, "low", F.col("text").alias("first")).dropDuplicates(KEYS)
     other = kept(texts.join(firsts, KEYS).filter(F.col("text") != F.col("first")).drop("first"))
 
