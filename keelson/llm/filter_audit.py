@@ -92,7 +92,8 @@ def refined(rows: DataFrame) -> DataFrame:
     """The rows whose length and blocks all equal those of another row: split key by key, classes of one row dropped each time."""
     rows = rows.filter("doc_id IS NOT NULL")
     for n in range(1, len(KEYS) + 1):
-        classes = rows.groupBy(*KEYS[:n]).agg(F.count("*").alias("n")).filter("n > 1")
+        # kept, so that the join reads two plain shuffles, which adaptive execution can split where a class is large
+        classes = kept(rows.groupBy(*KEYS[:n]).agg(F.count("*").alias("n")).filter("n > 1"))
         rows = kept(rows.join(classes, KEYS[:n], "left_semi"))
     return rows
 
