@@ -108,7 +108,8 @@ def counted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     number = F.pmod(F.xxhash64(*KEYS), F.lit(SIEVE)).cast("int")
     sieve = classes.select(number.alias("number")).distinct()
     texts = texts.filter("doc_id IS NOT NULL").withColumn("number", number).join(F.broadcast(sieve), "number", "left_semi").drop("number")
-    firsts = texts.join(classes, KEYS).filter(F.col("doc_id") == F.col("low")).select(*KEYS, "low", F.col("text").alias("first")).dropDuplicates(KEYS)
+    named = classes.select(*KEYS, "low", F.col("low").alias("doc_id"))  # the id is a key too, so a large class is no large partition
+    firsts = kept(texts.join(named, [*KEYS, "doc_id"]).select(*KEYS, "low", F.col("text").alias("first")).dropDuplicates(KEYS))
     other = kept(texts.join(firsts, KEYS).filter(F.col("text") != F.col("first")).drop("first"))
 
     def move(found: DataFrame, old, new) -> DataFrame:
