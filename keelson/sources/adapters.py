@@ -6,6 +6,7 @@ name-based, so the same capture gives the same records, and an upsert of them is
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +83,15 @@ def present(*parts: Column) -> Column:
 
 
 def bound_entities(claims: DataFrame, kind: str) -> DataFrame:
-    """(value, entity_id) of the claims of a kind; a value with two entities raises when read."""
+    """(value, entity_id) of the claims of a kind; a value with two entities raises, before anything is derived from them.
+
+    Not when read: several parts of a plan read this, and if more than one raises, Spark tells neither's reason.
+    """
     found = claims.filter((F.col("identifier_type") == kind) & (F.col("subject_type") == "entity")).groupBy("value").agg(F.count_distinct("subject_id").alias("n"), F.min("subject_id").alias("entity_id"))
-    return require(found, F.col("n") == 1, "one external identifier of two entities").select("value", "entity_id")
+    twice = found.filter("n > 1").take(1)
+    if twice:
+        raise PySparkValueError(f"one external identifier of two entities: {kind} {twice[0]['value']}")
+    return found.select("value", "entity_id")
 
 
 def ownership_records(rows: DataFrame, observed: DataFrame, known: DataFrame, version: str = "ownership/1.0.0") -> dict[str, DataFrame]:
