@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ids import content_hash
+from ..operators.lineage import stored
 from . import files
 from .files import ConflictError, canonical_json
 
@@ -55,13 +56,14 @@ def read_dataset(spark: SparkSession, path: str, schema: StructType | None = Non
     return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, key: str, payload: Column, contract: dict | None = None, buckets: int = BUCKETS) -> bool:
-    """Adds new records; True if anything was written.
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, key: str, payload: Column, contract: dict | None = None, buckets: int = BUCKETS, at_hand: bool = False) -> bool:
+    """Adds new records; True if anything was written. Records are read three times, so they are stored first, unless they are ``at_hand``.
 
     Equal records are no change; a conflict raises before anything is written. Only buckets that an
     incoming record falls into are read, and only those that get a new one are rewritten, sorted by key.
     ``buckets`` counts for a dataset that is not there yet.
     """
+    incoming = incoming if at_hand else stored(incoming)
     number, body = manifest(spark, path)
     buckets = body["buckets"] or buckets
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

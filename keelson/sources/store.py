@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..operators.lineage import stored
 from ..records import DATASETS, VERSION, violations
 from . import files
 from .datasets import check_footers, classify, depth_for, digest_tree, read_dataset, tree_differences, upsert  # noqa: F401
@@ -148,11 +149,11 @@ class TypedStore:
             raise PermissionError(f"{self.root} is read only")
         d = DATASETS[name]
         records = records.withColumn("schema_version", F.lit(VERSION)) if "schema_version" not in records.columns else records
-        records = records.to(d.schema)
+        records = stored(records.to(d.schema))
         bad = violations(records, name).take(3)
         if bad:
             raise ValueError(f"{name}: " + "; ".join(f"{r[0]}: {', '.join(r['broken'])}" for r in bad))
-        return upsert(self.spark, self.path(name), records, d.key, F.xxhash64(F.to_json(F.struct(*(f for f in d.schema.fieldNames() if f != d.key)))), self.contract(name))
+        return upsert(self.spark, self.path(name), records, d.key, F.xxhash64(F.to_json(F.struct(*(f for f in d.schema.fieldNames() if f != d.key)))), self.contract(name), at_hand=True)
 
     def load(self, name: str) -> DataFrame:
         """The records; none without the dataset. A part file whose footer states another contract than the one expected raises, with its name."""
