@@ -2,8 +2,9 @@
 
 Vectors are compared within a label only. Equal vectors are one row of the comparison, with their number.
 Unit vectors are turned to their principal axes; a cell is a box as wide as two linked vectors can be
-apart on the leading axes, so a vector meets only its own cell and the neighbouring ones. Large cells are
-cut into tiles, and each pair of tiles is one piece of work. There the leading dimensions' products come
+apart on the leading axes, so a vector meets only its own cell and the neighbouring ones; each label is cut
+on as many axes as pay for it. Large cells are cut into tiles, which are stored once and read by the tasks
+that compare them, a tile with a block of others at a time. There the leading dimensions' products come
 first; what the rest could add is bounded by the product of the suffix norms, and pairs that cannot reach
 the threshold stop. The others are computed in double precision on the vectors as given.
 
@@ -15,23 +16,29 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import ship
-from .common import Forest, by_key, components, kept, lean, parts_for, runs
+from .common import Forest, by_key, components, kept, lean, parts_for, remove, runs, shared_dir
 
 #: Vectors to a tile.
 TILE = 2048
 #: Leading dimensions that are accumulated before the bound is tested, again and again.
 STEPS = (16, 32)
-#: Axes that a grid may use.
+#: Axes that cells may be cut on.
 AXES = 3
+#: Pairs of vectors that are compared in the time that one tile is read, and tiles to a row of work.
+READ, BLOCK = 100_000, 32
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -89,78 +96,134 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: floa
     return x, y
 
 
-def grid(placed: DataFrame) -> int:
-    """How many axes the cells use: pairs to compare against copies of vectors, over all vectors."""
-    best = []
+def axes_by_label(placed: DataFrame, tile: int, read: int) -> DataFrame:
+    """(label, used): on how many axes a label's cells are cut, by pairs to compare and tiles to read; a label of one tile is not cut."""
+    at = [f"c{i}" for i in range(AXES)]
+    finest = kept(placed.groupBy("label", *at).agg(F.count("*").alias("n")))
+    costs = None
     for g in range(AXES + 1):
-        cells = placed.groupBy("label", *(f"c{i}" for i in range(g))).agg(F.count("*").alias("n"))
-        n, pairs = cells.agg(F.sum("n"), F.sum(F.col("n").cast("double") ** 2)).first()
-        best.append((pairs * 3**g / 2 + 500 * n * 3**g, g))
-    return min(best)[1]
+        cells = finest.groupBy("label", *at[:g]).agg(F.sum("n").cast("double").alias("n"))
+        sums = cells.groupBy("label").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.count("*").alias("cells"), F.sum(F.ceil(F.col("n") / tile)).alias("tiles"))
+        reads = F.when(F.col("tiles") == 1, 0).otherwise(F.col("tiles") * read)
+        cost = sums.select("label", F.lit(g).alias("used"), ((F.col("pairs") + reads) * (3**g / 2)).alias("cost"))
+        costs = cost if costs is None else costs.union(cost)
+    return costs.groupBy("label").agg(F.min(F.struct("cost", "used"))["used"].alias("used"))
 
 
-def tile_links(distinct: DataFrame, dimension: int, threshold: float, tile: int) -> DataFrame:
-    """(a, b, links): the links of vector a that a pair of tiles holds, with b null; or a step of a path between a and b."""
+def links_found(count: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Rows of tile_links: how many links each of ``ids`` has, and steps that connect what the pairs (x, y) connect."""
+    forest = Forest(len(ids))
+    forest.join(x, y)
+    far, some = np.flatnonzero(forest.parent != np.arange(len(ids))), np.flatnonzero(count)
+    b = pa.array(np.r_[np.zeros(len(some), np.int64), ids[forest.parent[far]]], mask=np.r_[np.ones(len(some), bool), np.zeros(len(far), bool)])
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], ids[far]]), b, pa.array(np.r_[count[some].astype(np.int64), np.zeros(len(far), np.int64)])], names=["a", "b", "links"])
+
+
+def tile_links(distinct: DataFrame, dimension: int, threshold: float, tile: int, read: int) -> DataFrame:
+    """(a, b, links): the links of vector a that a pair of tiles holds, with b null; or a step of a path between a and b.
+
+    A vector is shuffled once, to its tile. The task that gathers a tile compares it with itself and, unless
+    its label has no other tile, stores it as a part of a file of its own in the shared folder. Pairs of
+    tiles are then rows of places in those files, which tasks read; so copies of vectors are never shuffled
+    or stored, however many tiles a vector meets. Only rows of tasks that ended well name their files.
+    """
     spark = distinct.sparkSession
     axes = principal_axes(distinct, dimension)
     width = math.sqrt(2 - 2 * threshold) * (1 + 1e-6) if threshold < 1 else 1e-6
     many = min(AXES, dimension)
     kind = distinct.schema["embedding"].dataType.simpleString()
     label = distinct.schema["label"].dataType.simpleString()
+    at = [f"c{i}" for i in range(AXES)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cells = np.floor(unit(matrix(batch.column("embedding"), dimension)) @ axes[:, :many] / width).astype(np.int32)
                 more = [pa.array(cells[:, i]) if i < many else pa.array(np.zeros(len(cells), np.int32)) for i in range(AXES)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f"c{i}" for i in range(AXES))])
-
-    placed = kept(distinct.select("rep", "n", "label", "embedding").mapInArrow(lean(place), f"rep long, n long, label {label}, embedding {kind}, " + ", ".join(f"c{i} int" for i in range(AXES))))
-    g = grid(placed)
-    at = [f"c{i}" for i in range(g)]
-    cells = placed.groupBy("label", *at).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in enumerate(step)), F.lit(1).alias("on")) for step in product((-1, 0, 1), repeat=g)))
-    moved = cells.select("label", *at, "tiles", F.explode(steps).alias("step"))
-    met = moved.select("label", *((F.col(c) + F.col(f"step.d{i}")).alias(c) for i, c in enumerate(at)), F.col("tiles").alias("there"), *((-F.col(f"step.d{i}")).alias(f"d{i}") for i in range(g)))
-    met = met.join(cells, ["label", *at])
-    around = met.groupBy("label", *at).agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct(*(f"d{i}" for i in range(g)), "there")).alias("around"))
-    own = placed.withColumn("tile", F.xxhash64("rep"))
-    own = own.join(around, ["label", *at]).withColumn("tile", F.pmod("tile", F.col("tiles").cast("long")).cast("int"))
-    each = own.select("rep", "n", "label", "embedding", *at, "tile", F.explode("around").alias("o")).select("*", F.explode(F.sequence(F.lit(0), F.col("o.there") - 1)).alias("other"))
-    here = F.struct(*at, "tile")
-    there = F.struct(*((F.col(c) + F.col(f"o.d{i}")).alias(c) for i, c in enumerate(at)), F.col("other").alias("tile"))
-    # the pair itself is the key: two pairs under one hash would be compared as one
-    key = F.concat(F.least(here, there).cast("string"), F.greatest(here, there).cast("string"), F.col("label").cast("string"))
-    pair = each.select("rep", "n", "embedding", key.alias("key"), F.when(here == there, 0).when(here < there, 1).otherwise(2).alias("side"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *at])
+
+    placed = kept(distinct.select("rep", "n", "label", "embedding").mapInArrow(lean(place), f"rep long, n long, label {label}, embedding {kind}, " + ", ".join(f"{c} int" for c in at)))
+    used = axes_by_label(placed, tile, read)
+    cut = placed.join(used, "label").select("rep", "n", "label", "embedding", *(F.when(F.col("used") > i, F.col(c)).otherwise(0).alias(c) for i, c in enumerate(at)))
+    cells = kept(cut.groupBy("label", *at).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")))
+    alone = cells.groupBy("label").agg((F.sum("tiles") == 1).alias("alone"))
+    own = cut.join(cells.join(alone, "label"), ["label", *at]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles").cast("long")).cast("int"))
+    # the names themselves are the key: two tiles under one hash would be taken for one
+    own = own.withColumn("key", F.struct("label", *at, "tile").cast("string")).select("rep", "n", "embedding", "label", *at, "tile", "alone", "key")
+    folder = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = None
+        try:
+            for table in by_key(batches, "key", 4 * tile):
+                for s, e in zip(*runs(table["key"].to_numpy())):
+                    part = table.slice(s, e - s)
+                    ids, n, raw = part["rep"].to_numpy(), part["n"].to_numpy(), matrix(part["embedding"], dimension)
+                    x, y = linked_pairs(raw, raw, axes, threshold, True) if len(ids) > 1 else (np.zeros(0, int), np.zeros(0, int))
+                    if len(x):
+                        count = np.bincount(x, weights=n[y], minlength=len(ids)) + np.bincount(y, weights=n[x], minlength=len(ids))
+                        found = links_found(count, ids, x, y)
+                        no_tile = [pa.nulls(found.num_rows, f.type) for f in list(out)[:-3]]
+                        yield pa.RecordBatch.from_arrays([*no_tile, *found.columns], schema=out)
+                    if part["alone"][0].as_py():
+                        continue
+                    if sink is None:
+                        store, root = fs.FileSystem.from_uri(folder)
+                        store.create_dir(root, recursive=True)
+                        name = uuid.uuid4().hex
+                        sink = store.open_output_stream(f"{root}/{name}")
+                    begin = sink.tell()
+                    held = part.select(["rep", "n", "embedding"])
+                    with pa.ipc.new_stream(sink, held.schema) as stream:
+                        stream.write_table(held)
+                    row = [*(part[c][0].as_py() for c in ("label", *at, "tile")), name, begin, sink.tell() - begin, None, None, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out)], schema=out)
+        finally:
+            if sink is not None:
+                sink.close()
+
+    named = f"label {label}, " + ", ".join(f"{c} int" for c in at) + ", tile int, file string, begin long, size long, a long, b long, links long"
+    out = to_arrow_schema(StructType.fromDDL(named))
+    each = parts_for(spark, (cells.agg(F.sum("tiles")).first()[0] or 0) * tile * dimension * 4, 16 << 20)
+    stored = kept(own.repartition(each, "key").sortWithinPartitions("key").mapInArrow(lean(gather), named))
+    within = stored.filter("file is null").select("a", "b", "links")
+    tiles = stored.filter("file is not null").select("label", *at, F.struct("tile", "file", "begin", "size").alias("here"))
+    # of two cells that meet, the smaller one reaches the other
+    forward = [step for step in product((-1, 0, 1), repeat=AXES) if step >= (0,) * AXES]
+    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in enumerate(step)), F.lit(any(step)).alias("away")) for step in forward))
+    reached = tiles.select("label", *at, "here", F.explode(steps).alias("step")).select("label", "here", F.col("step.away").alias("away"), *((F.col(c) + F.col(f"step.d{i}")).alias(c) for i, c in enumerate(at)))
+    block = lambda c: F.floor(c / BLOCK).cast("int")
+    first = F.when(F.col("away"), 0).otherwise(block(F.col("here.tile")))
+    work = reached.join(cells, ["label", *at]).withColumn("block", F.explode(F.sequence(first, block(F.col("tiles") - 1))))
+    blocks = tiles.groupBy("label", *at, block(F.col("here.tile")).alias("block")).agg(F.collect_list("here").alias("others"))
+    work = work.join(blocks, ["label", *at, "block"]).select("here", "away", F.filter("others", lambda o: F.col("away") | (o["tile"] > F.col("here.tile"))).alias("others"))
+    work = kept(work.filter(F.size("others") > 0))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "key", 4 * tile):
-            rep, n, side, raw = table["rep"].to_numpy(), table["n"].to_numpy(), table["side"].to_numpy(), matrix(table["embedding"], dimension)
-            starts, ends = runs(table["key"].to_numpy())
-            for s, e in zip(starts, ends):
-                whole = side[s] == 0
-                first = np.arange(s, e)[side[s:e] != 2]
-                second = first if whole else np.arange(s, e)[side[s:e] == 2]
-                if len(first) < 1 or len(second) < 1 or whole and len(first) < 2:
-                    continue
-                x, y = linked_pairs(raw[first], raw[second], axes, threshold, whole)
-                if not len(x):
-                    continue
-                x, y = first[x] - s, second[y] - s
-                count = np.bincount(x, weights=n[y + s], minlength=e - s) + np.bincount(y, weights=n[x + s], minlength=e - s)
-                forest = Forest(e - s)
-                forest.join(x, y)
-                far = np.flatnonzero(forest.parent != np.arange(e - s))
-                some = np.flatnonzero(count)
-                ids = rep[s:e]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], ids[far]]), pa.array(np.r_[np.zeros(len(some), np.int64), ids[forest.parent[far]]], mask=np.r_[np.ones(len(some), bool), np.zeros(len(far), bool)]), pa.array(np.r_[count[some].astype(np.int64), np.zeros(len(far), np.int64)])], names=["a", "b", "links"])
-
-    copies = own.select(F.aggregate("around", F.lit(0), lambda n, o: n + o["there"]).alias("n")).agg(F.sum("n")).first()[0] or 0
-    parts = parts_for(spark, copies * dimension * 4, 16 << 20)
-    return pair.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(compare), "a long, b long, links long")
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
+        store, root = fs.FileSystem.from_uri(folder)
+
+        def load(where: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            with store.open_input_file(f"{root}/{where['file']}") as source:
+                held = pa.ipc.open_stream(source.read_at(where["size"], where["begin"])).read_all()
+            return held["rep"].to_numpy(), held["n"].to_numpy(), matrix(held["embedding"], dimension)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, n, raw = load(batch.column("here")[i].as_py())
+                for other in batch.column("others")[i].as_py():
+                    its_ids, its_n, its_raw = load(other)
+                    x, y = linked_pairs(raw, its_raw, axes, threshold, False)
+                    if len(x):
+                        count = np.r_[np.bincount(x, weights=its_n[y], minlength=len(ids)), np.bincount(y, weights=n[x], minlength=len(its_ids))]
+                        yield links_found(count, np.r_[ids, its_ids], x, y + len(ids))
+
+    pairs = work.agg(F.sum(F.size("others"))).first()[0] or 0
+    between = kept(work.repartition(parts_for(spark, pairs, 2 * BLOCK), "here").mapInArrow(lean(compare), "a long, b long, links long"))
+    remove(spark, folder)
+    return within.union(between)
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, read: int = READ) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
@@ -169,7 +232,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE)
     distinct = kept(rows.filter("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     found = None
     for (dimension,) in distinct.select(F.size("embedding")).distinct().collect():
-        part = tile_links(distinct.filter(F.size("embedding") == dimension), dimension, threshold, tile)
+        part = tile_links(distinct.filter(F.size("embedding") == dimension), dimension, threshold, tile, read)
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], "a long, b long, links long")

@@ -461,11 +461,12 @@ def test_vectors(spark, tmp_path):
     spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, label int").withColumn("rep", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["vec_id"]: r for r in rows(vectors.op10_embedding_near_dedup(spark, str(tmp_path)))}
     small = {r["vec_id"]: r for r in rows(vectors.near_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), tile=4))}
+    cut = {r["vec_id"]: r for r in rows(vectors.near_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), tile=4, read=0))}
     u = np.array([v / np.linalg.norm(v) for v in found])
     link = (u @ u.T >= 0.98) & (np.array([x[2] for x in data])[:, None] == np.array([x[2] for x in data])[None])
     f = Forest(len(found))
     f.join(*np.nonzero(link))
-    for out in (got, small):
+    for out in (got, small, cut):
         for i in range(len(found)):
             assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (link[i].sum() - 1, f.parent[i], f.parent[i] == i)
         assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in (100, 101, 102, 103, 104, 107, None))
@@ -474,6 +475,25 @@ def test_vectors(spark, tmp_path):
     assert vectors.op10_embedding_near_dedup(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_vectors_of_one_hot_cell_are_stored_once(spark):
+    """60 tiles of one cell, in blocks; nothing of the tiles is left behind."""
+    import os
+
+    rng = np.random.default_rng(3)
+    near = np.r_[np.ones(6)] + rng.normal(size=(900, 6)) * 0.06
+    df = spark.createDataFrame([(i, [float(x) for x in v], "hot, 1") for i, v in enumerate(near)], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r for r in rows(vectors.near_vectors(df, threshold=0.995, tile=15))}
+    u = near / np.linalg.norm(near, axis=1)[:, None]
+    link = u @ u.T >= 0.995
+    f = Forest(len(near))
+    f.join(*np.nonzero(link))
+    assert 900 < link.sum() < 810_000
+    for i in range(len(near)):
+        assert (got[i]["n_links"], got[i]["component_id"]) == (link[i].sum() - 1, f.parent[i])
+    shared = vectors.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(shared) and not [x for x in os.listdir(shared) if x.startswith("tiles-")]
+
+
 def test_pipeline(spark, edge, empty):
     import corpus_pipeline
 
