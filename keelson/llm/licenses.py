@@ -5,7 +5,9 @@ replaced, and ``{n:pattern}`` for up to n words that each match a pattern. Each
 an automaton over words; a text is accepted where its words run through the automaton, so every mandatory
 word must be there, in order, exactly. Full texts carry all conditions and the disclaimer, so that a text
 with an altered or missing clause is not accepted; notices are the short forms that point to a license.
-The base phrases are templates without markup. A text whose words lack a template's longest mandatory word
+The base phrases are templates without markup. ``read_templates`` compiles whole license texts from a
+folder, plain or with the markup of the public license lists (``<<beginOptional>>``, ``<<endOptional>>``,
+``<<var;...;match="...">>``), into templates of this kind; documents are then matched against them as well. A text whose words lack a template's longest mandatory word
 can't match it and is not scanned for it.
 
 Edge cases: a null or empty text has no words, no places and score 0; a base phrase counts at every word
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import column_bytes, documents, map_rows, texts
 
@@ -63,6 +66,64 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+#: A tag of the license lists' markup, its attributes behind the name.
+_TAG = re.compile(r"<<\s*(beginOptional|endOptional|var)\b((?:[^>\"]|\"[^\"]*\"|>(?!>))*)>>")
+#: A word that a pattern of characters may stand for, without anything that parts words or leaves the word open.
+_WORD_PATTERN = re.compile(r"[a-z0-9|()?\[\]-]+")
+
+
+def from_markup(text: str, longest: int = 100) -> str:
+    """A license text, plain or with the license lists' markup, as a template of words.
+
+    What is optional stays so, nested parts too. A replaceable part is at most one word of its pattern if that
+    tells single words (such as ``any|every``), else up to as many words as its bound of characters can hold,
+    ``longest`` at most. A part that isn't closed, or isn't opened, raises.
+    """
+    out: list[str] = []
+    at = depth = 0
+    for tag in _TAG.finditer(text):
+        out += _plain(text[at : tag.start()])
+        at = tag.end()
+        if tag[1] == "var":
+            match = re.search(r'match="([^"]*)"', tag[2])
+            out.append(_replaceable(match[1] if match else ".+", longest))
+            continue
+        depth += 1 if tag[1] == "beginOptional" else -1
+        if depth < 0:
+            raise ValueError("an optional part ends that was never begun")
+        out.append("[[" if tag[1] == "beginOptional" else "]]")
+    if depth:
+        raise ValueError("an optional part has no end")
+    return " ".join(out + _plain(text[at:]))
+
+
+def _plain(text: str) -> list[str]:
+    return [w.decode() for w in words_of(text.encode())]
+
+
+def _replaceable(pattern: str, longest: int) -> str:
+    folded = pattern.lower()
+    if _WORD_PATTERN.fullmatch(folded):
+        return f"{{1:{folded}}}"
+    bound = re.fullmatch(r"\.\{\d*,(\d+)\}\??", folded)
+    return f"{{{min(longest, (int(bound[1]) + 1) // 2) if bound else longest}}}"
+
+
+def read_templates(spark: SparkSession, folder: str, longest: int = 100) -> dict[str, str]:
+    """Templates by label from a folder of license texts; the label is the file's name in lower case, without ``.txt`` or ``.template``.
+
+    A file without a mandatory word raises, since it would match anything. The folder is the list of
+    licenses, which no corpus adds to; so it is read to the driver.
+    """
+    found = {}
+    for name, text in sorted(spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1), "value").collect()):
+        label = re.sub(r"(\.template)?(\.txt)?$", "", name.lower())
+        found[label] = from_markup(text, longest)
+        if not re.sub(r"\[\[.*\]\]|\{\S+\}", "", found[label]).strip():
+            raise ValueError(f"{name} has no mandatory wording")
+    return found
+
+
 @dataclass
 class Automaton:
     """States are numbered; each has word edges, edges for any word of a pattern, and empty edges. The last state accepts."""
@@ -196,3 +257,27 @@ def license_labels(docs: DataFrame, base: dict[str, str] = BASE, templates: dict
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(documents(spark, sf_dir))
+
+
+#: The columns that the base phrases decide.
+BASE_COLUMNS = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7's scan finds of the base phrases alone, which SQL can tell."""
+    return op7_license_scan(spark, sf_dir).select(*BASE_COLUMNS)
+
+
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
+    return f"list_filter(range(greatest(len(w) - {len(words) - 1}, 0)), lambda i: {same})"
+
+
+#: The same places by lists of words, for DuckDB.
+BASE_SQL = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{_places(phrase)} AS {label}" for phrase, label in BASE.items())} FROM t)
+SELECT doc_id, n_words, {" + ".join(f"len({label})" for label in BASE.values())} AS n_base, least({", ".join(f"list_min({label})" for label in BASE.values())}) AS first_word, greatest({", ".join(f"list_max({label})" for label in BASE.values())}) AS last_word,
+concat_ws(',', {", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in sorted(BASE.values()))}) AS base_labels FROM p
+"""

@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_packing": packing.op11_packing,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_ordered_funnels": funnels.op13_ordered_funnels,
+        "license_base_places": licenses.license_base_places,
+        "lm_base_scores": mixing_model.lm_base_scores,
     }
 
 
@@ -34,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op10_embedding_near_dedup": vectors.OP10_SQL,
         "op12_filter_audit": filter_audit.OP12_SQL,
         "op13_ordered_funnels": funnels.OP13_SQL,
+        "license_base_places": licenses.BASE_SQL,
+        "lm_base_scores": mixing_model.BASE_SQL,
     }

@@ -162,6 +162,16 @@ def test_quality_rules(spark, edge):
     assert Counter(tuple(r[n] for n in names) for r in rows(quality.op3_quality_rules(spark, edge))) == want
 
 
+@pytest.mark.parametrize("name", ["license_base_places", "lm_base_scores"])
+def test_base_columns_on_odd_rows(spark, edge, empty, name):
+    for folder in (edge, empty):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+        found = con.execute(oracle_sql()[name])
+        names = [c[0] for c in found.description]
+        assert Counter(tuple(r[n] for n in names) for r in rows(queries()[name](spark, folder))) == Counter(found.fetchall())
+
+
 def test_frequent_lines_deplete(spark):
     page = "\n".join(f"boilerplate line {w} that very many pages have" for w in "abcdefghij")
     docs = spark.createDataFrame([(i, page, "h") for i in range(30)] + [(100 + i, " ".join(f"own{i}{k}" for k in range(80)), "h") for i in range(30)], "doc_id long, text string, source string")
@@ -169,7 +179,7 @@ def test_frequent_lines_deplete(spark):
     assert not any(got[i] for i in range(30)) and all(got[100 + i] for i in range(30))
 
 
-@pytest.mark.parametrize("name", ["op3_quality_rules", "op6_suffix_array_dedup", "op10_embedding_near_dedup"])
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op6_suffix_array_dedup", "op10_embedding_near_dedup", "license_base_places", "lm_base_scores"])
 def test_queries_against_their_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings"):
