@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .checks import require
+
 
 def days(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS session_date")
 
 
-def simple_sessions(spark: SparkSession, first: str = "1995-01-01", last: str = "2002-12-31") -> DataFrame:
+#: Days of the test calendar.
+FIRST, LAST = "1995-01-01", "2002-12-31"
+
+
+def covered(events: DataFrame, day: Column, first: str = FIRST, last: str = LAST) -> DataFrame:
+    """The same events; reading one whose day lies outside of the calendar raises, as it would be censored for want of sessions. A null day stays."""
+    inside = day.isNull() | day.between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
+    return require(events, inside, f"an event lies outside of the calendar, {first} to {last}")
+
+
+def simple_sessions(spark: SparkSession, first: str = FIRST, last: str = LAST) -> DataFrame:
     """(session_date, ord): weekdays but 1 January, 4 July and 25 December. A dimension of bounded size."""
     d = F.col("session_date")
     open_day = (F.weekday(d) < 5) & ~F.date_format(d, "MM-dd").isin("01-01", "07-04", "12-25")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendars import simple_sessions
+from ..functions.calendars import covered, simple_sessions
 from ..operators import outcomes
 from ..operators.lineage import stored
 from ..tables import benchmark_bars, daily_bars, order_events
@@ -33,7 +33,7 @@ def study(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...] = HORIZONS
     """The outcome rows of all order events; issuers divisible by 997 stand for contradictory identities."""
     bars = stored(daily_bars(spark, sf_dir))
     return outcomes.outcome_rows(
-        order_events(spark, sf_dir), simple_sessions(spark), bars, benchmark_bars(bars), horizons=horizons, coverage=COVERAGE, lag=lag,
+        covered(order_events(spark, sf_dir), F.col("public_date")), simple_sessions(spark), bars, benchmark_bars(bars), horizons=horizons, coverage=COVERAGE, lag=lag,
         excluded=(F.col("event_type") == "other") | (F.col("family") == "5-LOW"),
         unresolved=F.col("security_id").isin(23, 24),
         terminal=(F.col("security_id") == 22) & (F.col("exit_date") >= F.to_date(F.lit("1999-01-04"))),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import control
 from ..functions import checks
-from ..functions.calendars import simple_sessions
+from ..functions.calendars import covered, simple_sessions
 from ..operators import inference, lineage, outcomes, reports, sessions
 from ..tables import order_events, table
 from .common import BAR, CAL, EV, NEXT, STUDY, STUDY60, register, study, study_sql
@@ -48,14 +48,14 @@ def q05_denominators(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {CAL}, {NEXT}, {EV} SELECT CAST(entry_date AS VARCHAR) AS entry_date, count(*) AS n FROM ev LEFT JOIN nxt ON public_date = day GROUP BY 1")
 def q10_next_session_day(spark: SparkSession, d: str) -> DataFrame:
-    found = sessions.next_session_by_day(order_events(spark, d), F.col("public_date"), simple_sessions(spark))
+    found = sessions.next_session_by_day(covered(order_events(spark, d), F.col("public_date")), F.col("public_date"), simple_sessions(spark))
     return found.groupBy(F.col("entry_date").cast("string").alias("entry_date")).agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {CAL}, {NEXT}, {EV}, n AS (SELECT event_id, h.horizon, c.ord FROM ev CROSS JOIN (VALUES (5), (20), (60), (90), (120)) h(horizon) LEFT JOIN nxt ON public_date = day LEFT JOIN cal c ON c.d = entry_date) SELECT horizon, CAST(x.d AS VARCHAR) AS exit_date, count(*) AS n FROM n LEFT JOIN cal x ON x.ord = n.ord + horizon GROUP BY 1, 2")
 def q11_nth_session(spark: SparkSession, d: str) -> DataFrame:
     cal = simple_sessions(spark)
-    found = sessions.next_session_by_day(order_events(spark, d), F.col("public_date"), cal)
+    found = sessions.next_session_by_day(covered(order_events(spark, d), F.col("public_date")), F.col("public_date"), cal)
     found = sessions.nth_session(sessions.with_horizons(found, (5, 20, 60, 90, 120)), cal)
     return found.groupBy("horizon", F.col("exit_date").cast("string").alias("exit_date")).agg(F.count("*").alias("n"))
 

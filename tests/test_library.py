@@ -648,3 +648,16 @@ def test_registered_bootstrap_is_brute_force_with_5000(spark, monkeypatch):
     n = len(found)
     row = study.q29_bootstrap(spark, "").first()
     assert tuple(row) == (5000, missing, round(found[(n + 39) // 40 - 1]), round(found[(39 * n + 39) // 40 - 1]))
+
+
+def test_events_outside_of_the_calendar_raise(spark):
+    from datetime import date
+
+    rows = [(1, date(1995, 1, 1)), (2, date(2002, 12, 31)), (3, None)]
+    events = spark.createDataFrame(rows, "event_id int, public_date date")
+    assert calendars.covered(events, F.col("public_date")).count() == 3
+    late = events.union(spark.createDataFrame([(4, date(2003, 1, 2))], events.schema))
+    with pytest.raises(Exception, match="outside of the calendar"):
+        calendars.covered(late, F.col("public_date")).collect()
+    assert calendars.covered(late, F.col("public_date"), last="2003-12-31").count() == 4
+    assert calendars.covered(events.limit(0), F.col("public_date")).count() == 0
