@@ -29,12 +29,22 @@ from .files import ConflictError, canonical_json
 BUCKETS = 16
 
 
+def unbroadcast(rows: DataFrame) -> DataFrame:
+    """Rows that no join broadcasts: files of sorted keys are small for what they hold, and Spark goes by the files."""
+    return rows.hint("merge")
+
+
+def fresh_rows(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """One incoming row of each key that is not there yet."""
+    return incoming.dropDuplicates([key]).join(unbroadcast(existing.select(key)), key, "left_anti").select(*incoming.columns)
+
+
 def classify(existing: DataFrame, incoming: DataFrame, key: str, payload: Column) -> DataFrame:
     """(key, action): insert, no_op or conflict for each distinct incoming record."""
     old = existing.select(F.col(key).alias("its_key"), payload.alias("old"))
     new = incoming.select(key, payload.alias("new")).distinct()
     alone = F.count("*").over(Window.partitionBy(key)) == 1
-    joined = new.withColumn("alone", alone).join(old, F.col(key) == F.col("its_key"), "left")
+    joined = new.withColumn("alone", alone).join(unbroadcast(old), F.col(key) == F.col("its_key"), "left")
     action = F.when(~F.col("alone"), "conflict").when(F.col("its_key").isNull(), "insert").when(F.col("new") == F.col("old"), "no_op").otherwise("conflict")
     return joined.select(key, action.alias("action"))
 
@@ -77,8 +87,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, key: str, payloa
     changed = {b for action, b in found if action == "insert"}
     if not changed:
         return False
-    fresh = incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(*incoming.columns)
-    rows = read_dataset(spark, path, incoming.schema, changed).unionByName(fresh).withColumn("bucket", bucket)
+    rows = read_dataset(spark, path, incoming.schema, changed).unionByName(fresh_rows(existing, incoming, key)).withColumn("bucket", bucket)
     if contract:
         rows = rows.withMetadata(key, {"contract": contract})
     version = uuid.uuid4().hex

@@ -45,6 +45,17 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
     assert len({n.rsplit("/", 1)[0] for n in kept}) == datasets.BUCKETS
 
 
+def test_no_join_broadcasts_what_is_stored(spark, tmp_path):
+    path = f"file://{tmp_path}/d"
+    datasets.upsert(spark, path, keyed(spark, [(i, f"v{i}") for i in range(100)]), "k", pay())
+    rows = keyed(spark, [(1, "v1"), (900, "new")])
+    stored = datasets.read_dataset(spark, path, rows.schema)
+    for found in (datasets.classify(stored, rows, "k", pay()), datasets.fresh_rows(stored, rows, "k")):
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["k"] for r in datasets.fresh_rows(stored, rows, "k").collect()] == [900]
+
+
 @pytest.mark.parametrize("step", ["data", "log"])
 def test_a_stopped_upsert_leaves_the_dataset_readable(spark, tmp_path, monkeypatch, step):
     path = f"file://{tmp_path}/d"
