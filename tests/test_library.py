@@ -106,6 +106,20 @@ def test_resampled_sums_are_those_of_joined_draws(spark, monkeypatch):
         inference.resampled(groups.filter("idx <> 4"), "any", 5, 60)
 
 
+def test_many_clusters_are_drawn_from_blocks_without_a_join(spark, monkeypatch):
+    groups = spark.createDataFrame([(i, i % 3, i * 7 - 50, i % 2, 11 - i) for i in range(37)], "idx int, p_n long, p_sum long, s_n long, s_sum long")
+    want = sorted(map(tuple, inference.draws(spark, "any", 5, 60, 37).join(groups, "idx").groupBy("resample").agg(*(F.sum(c) for c in ("p_n", "p_sum", "s_n", "s_sum"))).collect()))
+
+    def joined(*_):
+        raise AssertionError("draws are made as rows")
+
+    monkeypatch.setattr(inference, "draws", joined)
+    for held, kept, stretch in ((10, 2, 7), (37, 1, 100), (1, 40, 37)):
+        for name, value in (("HELD", held), ("KEPT", kept), ("STRETCH", stretch)):
+            monkeypatch.setattr(inference, name, value)
+        assert sorted(map(tuple, inference.resampled(groups, "any", 5, 60).collect())) == want
+
+
 def test_verdict_boundaries():
     plan = inference.Plan()
     arms = {a: {"complete": 1000, "issuers": 200, "actionable": 1111} for a in inference.ARMS}
