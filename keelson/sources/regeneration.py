@@ -25,6 +25,8 @@ from .files import ConflictError
 
 PARTIAL = "id string, digest string, key string, n long, total decimal(38,0)"
 INPUT = "id string, name string, digest string"
+#: Captures to a task that derives from them.
+DERIVED = 64
 
 
 def contents(digests: DataFrame, root: str) -> DataFrame:
@@ -63,10 +65,12 @@ def regenerate(spark: SparkSession, root: str, target: str, derive: Callable[[Da
     before = inputs.groupBy("name").agg(F.collect_set("digest").alias("seen"))
     changed = found.join(before, "name").filter(~F.array_contains("seen", F.col("digest"))).select("name", "digest", "seen")
     changed = stored(changed)  # as it is now: the inputs of this run are added below
-    fresh = found.select("digest").distinct().join(partials.select("digest").distinct(), "digest", "left_anti")
+    fresh = found.select("digest").distinct().join(datasets.unbroadcast(partials.select("digest").distinct()), "digest", "left_anti")
+    fresh = stored(fresh)
     derived = fresh.count()
     if derived:
-        rows = derive(contents(fresh, root)).groupBy("digest", "key").agg(F.sum("n").cast("long").alias("n"), F.sum("total").cast("decimal(38,0)").alias("total"))
+        # digests are short, their contents aren't: by the digests' bytes, one task would have them all
+        rows = derive(contents(fresh.repartition(max(1, -(-derived // DERIVED))), root)).groupBy("digest", "key").agg(F.sum("n").cast("long").alias("n"), F.sum("total").cast("decimal(38,0)").alias("total"))
         marks = fresh.select("digest", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("total"))
         named = F.concat_ws("/", "digest", F.coalesce(F.sha2("key", 256), F.lit("")))
         whole = rows.unionByName(marks).groupBy("digest", "key").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(38,0)").alias("total"))

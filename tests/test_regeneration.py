@@ -48,3 +48,16 @@ def test_an_object_changed_in_place_is_found(spark, tmp_path):
     assert [r["digest"] for r in regeneration.damaged(spark, root).collect()] == [held[0].name]
     with pytest.raises(PySparkException, match="not what its name says"):
         regeneration.regenerate(spark, root, f"{root}/r", words)
+
+
+def test_captures_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    root, tasks = f"file://{tmp_path}/root", []
+    put(spark, root, {str(i): f"x {i}" for i in range(40)})
+
+    def counted(found):
+        tasks.append(len({r[0] for r in found.select(F.spark_partition_id()).collect()}))
+        return words(found)
+
+    monkeypatch.setattr(regeneration, "DERIVED", 4, raising=False)
+    run = regeneration.regenerate(spark, root, f"{root}/r", counted)
+    assert run.derived == 40 and tasks == [10] and ("x", 40, 40) in report(run)
