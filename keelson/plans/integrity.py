@@ -109,7 +109,7 @@ w AS (SELECT *, CASE WHEN ierror IS NOT NULL THEN ierror WHEN selection = 'exclu
 
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
-    bars = daily_bars(spark, d)
+    bars = lineage.stored(daily_bars(spark, d))  # four joins read them
     return assembly.assemble(assembly_inputs(spark, d), types=("equity_purchase", "equity_sale"), families=FAMILIES, period=PERIOD, as_of=AS_OF, horizons=HORIZONS, bars=bars, benchmark=benchmark_bars(bars), coverage=COVERAGE)
 
 
