@@ -364,6 +364,14 @@ def test_lm_beats_its_base_on_held_out_text(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_all_training_documents_teach_the_mixing_model(spark):
+    docs = spark.createDataFrame([(i, f"some words {i % 7}") for i in range(200)] + [(None, "no id")], "doc_id long, text string")
+    training = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(200)) + 1
+    groups = mixing_model.packed_groups(docs, 5, 1)
+    assert groups.filter("learns").agg(functions.sum("n_train")).first()[0] == training
+    assert not groups.filter("NOT learns AND n_train > 0").count()
+
+
 def test_lm_scores_follow_from_the_documents_alone(spark, monkeypatch):
     monkeypatch.setattr(mixing_model, "GROUP", 40)
     monkeypatch.setattr(mixing_model, "GROUP_BYTES", 100_000)
