@@ -364,6 +364,18 @@ def test_lm_beats_its_base_on_held_out_text(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_base_scores_learn_no_weights(spark, edge, monkeypatch):
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    want = sorted(map(str, mixing_model.scored(mixing_model.documents(spark, edge)).select(*columns).collect()))
+
+    def learned(*_):
+        raise AssertionError("weights are learned")
+
+    monkeypatch.setattr(mixing_model, "learned", learned)
+    assert mixing_model.lm_base_scores(spark, edge).count() == len(want)
+    assert sorted(map(str, mixing_model.base_scored(mixing_model.documents(spark, edge)).select(*columns).collect())) == want
+
+
 def test_all_training_documents_teach_the_mixing_model(spark):
     docs = spark.createDataFrame([(i, f"some words {i % 7}") for i in range(200)] + [(None, "no id")], "doc_id long, text string")
     training = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(200)) + 1
