@@ -45,3 +45,34 @@ def test_statistics_of_places(spark):
     assert got[("/b/*", "number")] == (3, 1, 0, 2) and got[("/a", "string")] == (1, 1, 1, 1) and got[("", "object")] == (3, 3, 0, 0)
     gaps = {r["place"]: tuple(r)[1:] for r in bodies.lacking(w, "id", ["/a", "/b", "/c"]).collect()}
     assert gaps == {"/a": (1, 0, 1), "/b": (0, 1, 1), "/c": (3, 0, 0)}
+
+
+def rows_of_tasks(spark, run):
+    """What run() gives, and the most shuffled rows that one of its tasks read."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()) for s in (listed.apply(i) for listed in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for i in range(listed.size()))}
+    known = stages()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tasks = [found.apply(i).taskMetrics() for found in (store.taskList(*s, 10_000) for s in stages() - known) for i in range(found.size())]
+    return out, max(t.get().shuffleReadMetrics().recordsRead() for t in tasks if t.isDefined())
+
+
+def test_tasks_of_statistics_keep_their_size(spark, monkeypatch):
+    monkeypatch.setattr(bodies, "BYTES", 1 << 17)  # some 1,200 values
+    most = []
+    for n in (5_000, 20_000):
+        # every body is there twice, one key in a hundred is null, "same" is everywhere
+        rows = spark.range(2 * n).selectExpr("nullif(id % {0}, id % {0} DIV 100 * 100) AS id".format(n), "concat('{\"a\": \"same\", \"b\": [', id, ', 1]}') AS body")
+        w, walked_rows = rows_of_tasks(spark, lambda rows=rows: bodies.walk(rows, "id", "body"))
+        got, read = rows_of_tasks(spark, lambda w=w: {(r["place"], r["type"]): tuple(r)[2:] for r in bodies.place_statistics(w, "id").collect()})
+        keys = n - n // 100
+        assert got == {("", "object"): (2 * n, keys, 0, 0), ("/a", "string"): (2 * n, keys, 0, 1), ("/b", "array"): (2 * n, keys, 0, 0), ("/b/*", "number"): (4 * n, keys, 0, 2 * n)}
+        most.append(max(read, walked_rows))
+    assert most[1] < 2_400 and most[1] < 2 * most[0]
+
+
+def test_empty_values(spark):
+    texts = ["[]", "[null]", "[null, null]", "[[]]", "{}", '{"a": null}', '""', "null", "0", "false", '" "', "[ ]", "{ }"]
+    got = bodies.walk(frame(spark, list(enumerate(texts))), "id", "body").filter("pointer = ''").orderBy("id").collect()
+    assert [texts[r["id"]] for r in got if r["empty"]] == ["[]", "{}", '""', "[ ]", "{ }"]
