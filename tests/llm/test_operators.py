@@ -426,6 +426,35 @@ def test_lm_counts_are_of_other_documents_and_of_what_went_before(slabs):
         assert list(zip(every.tolist(), seen.tolist())) == want
 
 
+def test_lm_words_are_hashed_by_length_not_one_by_one(monkeypatch):
+    rng = random.Random(3)
+    odd = [bytes(rng.choice(b"aZ\x00\x1c\x1f\x80\xff\xc3\xa4~") for _ in range(k)) for k in range(80)]
+    found = [(t or "").encode() for _, t in texts()] + odd + [b"", b" ", b"\t\n\x0b\x0c\r", b"one", b" two  w\x1fords ", *(b" ".join(rng.sample(odd, 20)) for _ in range(30))]
+    words = [[*t.lower().split(), b" "] for t in found]
+    want = [xxhash.xxh64_intdigest(w) for ws in words for w in ws]
+    asked = []
+    monkeypatch.setattr(mixing_model.xxhash, "xxh64_intdigest", lambda w, hashed=xxhash.xxh64_intdigest: asked.append(w) or hashed(w))
+    hashes, size = mixing_model.Reader().words(found)
+    assert size.tolist() == list(map(len, words)) and hashes.tolist() == want
+    assert all(len(w) >= 32 or w == b" " for w in asked)
+    assert [x.tolist() for x in mixing_model.Reader().words([])] == [[], []]
+
+
+def test_lm_nodes_count_what_came_before_in_the_document():
+    rng = np.random.default_rng(5)
+    for counts, n in (([30, 9, 9, 4, 2, 1, 1], 400), ([3, 2], 50), ([7], 20), ([5, 1], 0)):
+        tree, symbols, doc = mixing_model.tree_of(counts), rng.integers(0, len(counts), n), np.sort(rng.integers(3, 12, n))
+        size = tree.start[symbols + 1] - tree.start[symbols]
+        before, ones, want = Counter(), Counter(), []
+        for d, s in zip(doc.tolist(), symbols.tolist()):
+            for node, bit in zip(tree.node[tree.start[s] : tree.start[s + 1]].tolist(), tree.bit[tree.start[s] : tree.start[s + 1]].tolist()):
+                want.append((before[d, node], ones[d, node]))
+                before[d, node] += 1
+                ones[d, node] += bit
+        got = mixing_model.earlier(tree, symbols, doc, np.cumsum(size) - size, int(size.sum()))
+        assert list(zip(*(x.tolist() for x in got))) == want
+
+
 def test_lm_bits_are_probabilities():
     tree = mixing_model.tree_of([5, 3, 2, 1, 1])
     p = [np.prod([mixing_model.squash(tree.first[n]) if b else 1 - mixing_model.squash(tree.first[n]) for n, b in zip(tree.node[a:b_], tree.bit[a:b_])]) for a, b_ in zip(tree.start[:-1], tree.start[1:])]
