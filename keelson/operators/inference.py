@@ -5,14 +5,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import require
 from ..session import shared_folder
 from ..sources import files
+from .jvm import drawn_sums
 from .lineage import stored
 
 
@@ -54,16 +53,16 @@ def contrast(rows: DataFrame, *by: str) -> DataFrame:
     return grouped.agg((part("p_n", "p_sum") - part("s_n", "s_sum")).alias("contrast"))
 
 
-#: Clusters to a block of sums (32 bytes each), blocks that a task keeps, draws that it takes at once, and draws to a task.
-HELD, KEPT, STRETCH, DRAWS = 1 << 20, 4, 1 << 22, 1 << 21
+#: Clusters to a block of sums (32 bytes each), blocks that an executor keeps, draws that a task takes at once, draws to a task, and to one that makes rows of them.
+HELD, KEPT, STRETCH, DRAWS, ROWS = 1 << 20, 16, 1 << 22, 1 << 24, 1 << 21
 
 
 def resampled(groups: DataFrame, domain: str, seed: int, resamples: int) -> DataFrame:
     """(resample, p_n, p_sum, s_n, s_sum): the clusters' sums, each as often as its resample draws it.
 
-    A task draws whole resamples and adds up whole numbers, so a resample leaves it as one row and no draw is
-    shuffled, whatever the number of clusters: their sums lie in blocks in the shared folder, from which
-    tasks read, some at a time. For sums that are no 64-bit integers, or if a draw was rejected (chance of
+    A task draws whole resamples in the JVM and adds up whole numbers, so a resample leaves it as one row and no
+    draw is shuffled, whatever the number of clusters: their sums lie in blocks in the shared folder, which
+    an executor reads once for all its tasks, or if there are more than it keeps, one at a time. For sums that are no 64-bit integers, or if a draw was rejected (chance of
     some 2**-44 at a million clusters and 5,000 resamples), draws are made as rows and joined instead.
     """
     spark = groups.sparkSession
@@ -72,55 +71,15 @@ def resampled(groups: DataFrame, domain: str, seed: int, resamples: int) -> Data
     whole = all(t in ("int", "bigint") or t.startswith("decimal") and t.endswith(",0)") for c, t in groups.dtypes if c in columns)
     if whole and size and size * int(top) < 1 << 62:
         folder = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
-        each, kept, stretch = HELD, KEPT, STRETCH
-        write_blocks(groups.select("idx", *(F.col(c).cast("bigint") for c in columns)), folder, size, each)
-        prefix, limit = domain.encode() + seed.to_bytes(8, "big"), 2**64 // size * size
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, at = fs.FileSystem.from_uri(folder)
-            held, begun = {}, hashlib.sha256(prefix)
-
-            def block(k: int) -> np.ndarray:
-                if k not in held:
-                    if len(held) == kept:
-                        del held[next(iter(held))]
-                    with store.open_input_stream(f"{at}/{k}") as source:
-                        held[k] = np.frombuffer(source.read(), np.int64).reshape(-1, 4)
-                return held[k]
-
-            def words(first: int, last: int) -> np.ndarray:
-                counters, digests = np.arange(first, last, dtype=">u8").tobytes(), []
-                for j in range(0, len(counters), 8):
-                    one = begun.copy()
-                    one.update(counters[j : j + 8])
-                    digests.append(one.digest()[:8])
-                return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
-
-            for batch in batches:
-                out = np.zeros((batch.num_rows, 6), np.int64)
-                for row, resample in zip(out, batch.column("id").to_pylist()):
-                    row[0] = resample
-                    end = (resample + 1) * size
-                    for first in range(resample * size, end, stretch):
-                        last, idx = min(first + stretch, end), []
-                        for a in range(first, last, 1 << 16):
-                            found = words(a, min(a + (1 << 16), last))
-                            if limit < 2**64:
-                                row[5] += np.count_nonzero(found >= np.uint64(limit))
-                            idx.append((found % np.uint64(size)).astype(np.int64))
-                        idx = np.concatenate(idx)
-                        for k in range(-(-size // each)):
-                            own = idx if size <= each else idx[(idx >= k * each) & (idx < (k + 1) * each)]
-                            sums = block(k)
-                            row[1:5] += np.bincount(own - k * each, minlength=len(sums)) @ sums
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T], names=["resample", *columns, "rejected"])
-
+        write_blocks(groups.select("idx", *(F.col(c).cast("bigint") for c in columns)), folder, size, HELD)
         parts = min(resamples, max(1, -(-resamples * size // DRAWS), spark.sparkContext.defaultParallelism))
-        found = stored(spark.range(0, resamples, 1, parts).mapInArrow(run, "resample long, p_n long, p_sum long, s_n long, s_sum long, rejected long"))
+        fixed = F.lit(folder), F.lit(size).cast("bigint"), F.lit(HELD), F.lit(KEPT), F.lit(STRETCH), F.lit(domain.encode() + seed.to_bytes(8, "big"))
+        sums = stored(spark.range(0, resamples, 1, parts).select(F.col("id").alias("resample"), drawn_sums(spark, F.col("id"), *fixed).alias("sums")))
+        found = sums.select("resample", *(F.col("sums")[j].alias(c) for j, c in enumerate([*columns, "rejected"])))
         files.remove(spark, folder)
         if found.filter("rejected > 0").isEmpty():
             return found.select("resample", *columns)
-    drawn = draws(spark, domain, seed, resamples, max(size, 1), max(8, -(-resamples * size // DRAWS)))
+    drawn = draws(spark, domain, seed, resamples, max(size, 1), max(8, -(-resamples * size // ROWS)))
     return drawn.join(groups, "idx").groupBy("resample").agg(*(F.sum(c).alias(c) for c in columns))
 
 

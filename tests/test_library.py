@@ -120,6 +120,20 @@ def test_many_clusters_are_drawn_from_blocks_without_a_join(spark, monkeypatch):
         assert sorted(map(tuple, inference.resampled(groups, "any", 5, 60).collect())) == want
 
 
+def test_draws_are_made_in_the_jvm(spark, monkeypatch):
+    groups = [(i, i % 3, i * 7 - 50, i % 2, (11 - i) * 2**40) for i in range(37)]
+    plans, stored = [], inference.stored
+    monkeypatch.setattr(inference, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or stored(df))
+    for domain in ("any", "a domain that is longer than one block of the digest, of sixty-four bytes"):
+        start, want = domain.encode() + (5).to_bytes(8, "big"), []
+        for r in range(20):
+            idx = [int.from_bytes(hashlib.sha256(start + k.to_bytes(8, "big")).digest()[:8], "big") % 37 for k in range(r * 37, r * 37 + 37)]
+            want.append((r, *(sum(groups[i][c] for i in idx) for c in (1, 2, 3, 4))))
+        df = spark.createDataFrame(groups, "idx int, p_n long, p_sum long, s_n long, s_sum long")
+        assert sorted(map(tuple, inference.resampled(df, domain, 5, 20).collect())) == want
+    assert plans and not any("MapInArrow" in p or "Python" in p for p in plans)
+
+
 def test_verdict_boundaries():
     plan = inference.Plan()
     arms = {a: {"complete": 1000, "issuers": 200, "actionable": 1111} for a in inference.ARMS}
