@@ -194,11 +194,12 @@ class Plan:
             raise ValueError("a validation needs 1000 complete events and 200 issuers in each arm")
 
 
-def arm_summaries(rows: DataFrame, value: str, unit: int = 1) -> DataFrame:
+def arm_summaries(rows: DataFrame, value: str, unit: int = 1, by_issuer: bool = True) -> DataFrame:
     """(horizon, arm, selected, actionable, complete, issuers, total, largest, issuer_counts): exact counts and sums by arm.
 
     Rows have horizon, event_type, selection, timing_eligible, status, issuer_id and the value. A complete
-    row without an issuer or a value raises when it is read.
+    row without an issuer or a value raises when it is read. issuer_counts has every issuer of an arm in one
+    map, so who does not show it leaves it out by ``by_issuer``.
     """
     arm = F.col("event_type").isin(*ARMS) & (F.col("selection") == "selected")
     fit = F.col("timing_eligible")
@@ -206,7 +207,8 @@ def arm_summaries(rows: DataFrame, value: str, unit: int = 1) -> DataFrame:
     rows = require(rows.filter(arm), ~done | (F.col("issuer_id").isNotNull() & F.col(value).isNotNull()), "a complete row without an issuer or a return")
     one = rows.groupBy("horizon", F.col("event_type").alias("arm"), "issuer_id").agg(F.count("*").alias("selected"), F.count_if(fit).alias("actionable"), F.count_if(done).alias("complete"), F.sum(F.when(done, F.col(value))).alias("total"))
     counts = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("complete") > 0, F.struct(F.col("issuer_id").cast("string"), "complete")))))
-    return one.groupBy("horizon", "arm").agg(F.sum("selected").alias("selected"), F.sum("actionable").alias("actionable"), F.sum("complete").alias("complete"), F.count_if(F.col("complete") > 0).alias("issuers"), F.sum("total").alias("total"), F.max("complete").alias("largest"), counts.alias("issuer_counts"))
+    shown = [counts.alias("issuer_counts")] if by_issuer else []
+    return one.groupBy("horizon", "arm").agg(F.sum("selected").alias("selected"), F.sum("actionable").alias("actionable"), F.sum("complete").alias("complete"), F.count_if(F.col("complete") > 0).alias("issuers"), F.sum("total").alias("total"), F.max("complete").alias("largest"), *shown)
 
 
 def rounded(summary: dict, unit: int) -> dict:
@@ -240,10 +242,10 @@ def verdict(arms: dict[str, dict], boot: dict, net25: Fraction | None, plan: Pla
     return "insufficient" if lacking else "negative" if bad else "positive", lacking + bad
 
 
-def analyze_horizon(rows: DataFrame, value: str, unit: int, horizon: int, plan: Plan, domain: str) -> dict:
-    """One horizon's arms, and for the primary one clusters, bootstrap and verdict. Values are whole numbers of 1 / unit."""
+def analyze_horizon(rows: DataFrame, value: str, unit: int, horizon: int, plan: Plan, domain: str, by_issuer: bool = True) -> dict:
+    """One horizon's arms, and for the primary one clusters, bootstrap and verdict. Values are whole numbers of 1 / unit; ``by_issuer`` as for summaries."""
     rows = rows.filter(F.col("horizon") == horizon)
-    arms = {r["arm"]: r.asDict() for r in arm_summaries(rows, value).collect()}
+    arms = {r["arm"]: r.asDict() for r in arm_summaries(rows, value, by_issuer=by_issuer).collect()}
     shown = {name: rounded(arm, unit) for name, arm in sorted(arms.items())}
     if horizon != plan.mechanics["primary_horizon"]:
         return {"horizon": horizon, "arms": shown, "bootstrap": None, "verdict": "not_evaluated", "reasons": ["secondary_descriptive_endpoint_cannot_rescue_primary"]}

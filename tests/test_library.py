@@ -678,6 +678,19 @@ def test_registered_bootstrap_is_brute_force_with_5000(spark, monkeypatch):
     assert tuple(row) == (5000, missing, round(found[(n + 39) // 40 - 1]), round(found[(39 * n + 39) // 40 - 1]))
 
 
+def test_the_verdict_gathers_no_issuers(spark, monkeypatch):
+    from keelson.plans import study
+
+    seen, stored, summaries = [], study.lineage.stored, inference.arm_summaries
+    monkeypatch.setattr(study.lineage, "stored", lambda df: seen.append(df.columns) or stored(df))
+    monkeypatch.setattr(inference, "arm_summaries", lambda *a, **b: seen.append((df := summaries(*a, **b)).columns) or df)
+    monkeypatch.setattr(inference, "resampled", lambda groups, *_: groups.withColumnRenamed("idx", "resample"))
+    assert study.q30_verdict(spark, "/root/testdata/sf0.001").count() == 1
+    rows, arms = seen
+    assert set(rows) == {"horizon", "event_type", "selection", "timing_eligible", "status", "issuer_id", "excess_ppm"}
+    assert "issuer_counts" not in arms and {"complete", "issuers", "actionable", "total", "largest"} <= set(arms)
+
+
 def test_events_outside_of_the_calendar_raise(spark):
     from datetime import date
 
